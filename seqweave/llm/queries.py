@@ -6,19 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality
+from . import binary_ids, bpe, mixing, quality
 from .common import table
 
+END_ID = 2
+
+
+def byte_bpe() -> str:
+    """The public tokenizer file that the queries use; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_hash_indexed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return binary_ids.export_and_read_back(docs, byte_bpe(), end_id=END_ID, vocabulary=50257)
+
 
 def op4_weighted_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighted_fair_queue(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
 
 
+def op5_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), byte_bpe(), keep=["doc_id"])
+
+
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_hash_indexed_ids": op3_hash_indexed_ids,
+    "op5_pair_index_bpe": op5_pair_index_bpe,
     "op4_weighted_fair_queue": op4_weighted_fair_queue,
     "op8_compression_bands": op8_compression_bands,
 }
