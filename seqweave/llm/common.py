@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship_package
+
 SLICE_BYTES = 4 << 20
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -24,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python by bytes, not by rows alone."""
+    """Make workers ready: they have this package, and Arrow batches are bounded by bytes, not by rows alone."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 

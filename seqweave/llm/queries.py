@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import binary_ids, bpe, mixing, quality
+from . import binary_ids, bpe, media, mixing, quality, toxicity
 from .common import table
 
 END_ID = 2
@@ -19,6 +20,18 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
+
+
+def op1_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    model = toxicity.train(toxicity.training_sample(docs, labels))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_sentences", F.to_json("toxic_sentences").alias("toxic_sentences"))
+
+
 def op3_hash_indexed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return binary_ids.export_and_read_back(docs, byte_bpe(), end_id=END_ID, vocabulary=50257)
@@ -36,10 +49,16 @@ def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.compression_bands(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.stored_media(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_noisy_or_toxicity": op1_noisy_or_toxicity,
     "op3_hash_indexed_ids": op3_hash_indexed_ids,
     "op5_pair_index_bpe": op5_pair_index_bpe,
     "op4_weighted_fair_queue": op4_weighted_fair_queue,
     "op8_compression_bands": op8_compression_bands,
+    "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 SQL: dict[str, str] = {}
