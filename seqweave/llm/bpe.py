@@ -157,10 +157,11 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", text: str = "text") ->
     return rows.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep, n_tokens, ids_sha256 and decoded_sha256: encoded and decoded in one pass, so that ids need not leave the worker."""
+def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, ids: str | None = None) -> DataFrame:
+    """keep, n_tokens, ids_sha256 and decoded_sha256, encoded and decoded in one pass; with `ids`, a column of that name has the ids too."""
     ensure_columns(docs, text)
-    new = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    new = [(ids, T.ArrayType(T.IntegerType(), False))] if ids else []
+    new += [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
     keep = [c for c in docs.columns if c != text and c not in dict(new)] if keep is None else keep
     bounded_batches(docs.sparkSession)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(*x) for x in new])
@@ -172,9 +173,10 @@ def digests(docs: DataFrame, path: str, text: str = "text", keep: list[str] | No
             flat, offsets = encode_texts(batch.column(batch.schema.get_field_index(text)).to_pylist(), path)
             named, plain = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                ids = flat[a:b].tolist()
-                named.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
-                plain.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-            yield with_columns(batch, keep, {"n_tokens": pa.array(np.diff(offsets)), "ids_sha256": pa.array(named, pa.string()), "decoded_sha256": pa.array(plain, pa.string())})
+                one = flat[a:b].tolist()
+                named.append(hashlib.sha256(",".join(map(decimal, one)).encode()).hexdigest())
+                plain.append(hashlib.sha256(bpe.decode(one).encode()).hexdigest())
+            lists = {ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))} if ids else {}
+            yield with_columns(batch, keep, lists | {"n_tokens": pa.array(np.diff(offsets)), "ids_sha256": pa.array(named, pa.string()), "decoded_sha256": pa.array(plain, pa.string())})
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

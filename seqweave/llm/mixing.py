@@ -104,7 +104,7 @@ def running(df: DataFrame, by: list[str], bucket: str, order: list[Column], valu
 
 
 def weighted_fair_queue(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """key, source, size, source_size, target, taken and readings of every row of docs."""
+    """key, source, tie (a hash of the text), size, source_size, target, taken and readings of every row of docs."""
     spark = docs.sparkSession
     shuffled = F.xxhash64(F.lit(seed), "key", "tie")
     base = stored(sized(docs, key, source, text).withColumn("h", shuffled).withColumn("bucket", F.shiftrightunsigned("h", 64 - (BUCKETS - 1).bit_length())), "sizes")
@@ -129,7 +129,15 @@ def weighted_fair_queue(docs: DataFrame, key: str = "doc_id", source: str = "sou
             bound = F.struct(*[F.lit(last[n]).cast(t).alias(n) for n, t in (("finish", "double"), ("h", "long"), ("key", placed.schema["key"].dataType), ("tie", "long"), ("e", "int"))])
             inside = inside | (here <= bound)
         took = took + F.when(live & (F.lit(e) < cap) & inside, 1).otherwise(0)
-    return placed.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", (F.col("size") * took).alias("taken"), took.cast("int").alias("readings"))
+    return placed.select(F.col("key").alias(key), F.col("source").alias(source), "tie", "size", "source_size", "target", (F.col("size") * took).alias("taken"), took.cast("int").alias("readings"))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
+    """The rows of docs, each as often as the mix reads it; rows equal in key and text are each read as often as the least read of them."""
+    queue = weighted_fair_queue(docs, key, source, text, weights, most, seed)
+    queue = queue.groupBy(F.col(key).alias("_key"), F.col("tie").alias("_tie")).agg(F.min("readings").alias("_n")).where("_n > 0")
+    met = docs.withColumn("_t", F.xxhash64(text)).join(queue, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")))
+    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("_reading")).drop("_reading")
 
 
 def finish_time(reading: Column) -> Column:

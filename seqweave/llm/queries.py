@@ -42,7 +42,7 @@ def op3_hash_indexed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_weighted_fair_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.weighted_fair_queue(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+    return mixing.weighted_fair_queue(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source", "tie")
 
 
 def op5_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
