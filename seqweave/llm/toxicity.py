@@ -17,7 +17,6 @@ of labels with equal ids all are taken; null ids or labels are not used for fitt
 from __future__ import annotations
 
 import io
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +28,8 @@ from pyspark.sql import types as T
 from .common import bounded_batches, ensure_columns, slices, utf8, with_columns
 from .words import code_points, mix, word_hashes, words
 
-MOST_POSITIVE = 3000
-MOST_NEGATIVE = 6000
+MOST_POSITIVE = 2000
+MOST_NEGATIVE = 4000
 MOST_FEATURES = 20_000
 SENTENCE_WORDS = 60
 PREFIXES = (4, 5, 6, 7)
@@ -65,36 +64,92 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(bags: list[list[set[str]]], toxic: list[int], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Weights by feature and the bias, from documents as lists of sentences as sets of features."""
-    y = np.array(toxic, bool)
-    if not y.any() or y.all():
-        return {}, -40.0
-    ones, zeros = Counter(), Counter()
-    for bag, label in zip(bags, toxic, strict=True):
-        (ones if label else zeros).update(set().union(*bag) if bag else ())
-    n1, n0 = int(y.sum()), int((~y).sum())
-    scored = []
-    for f, k in ones.items():
-        p = (k + zeros[f]) / (n1 + n0)
-        z = (k / n1 - zeros[f] / n0) / np.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-        if k >= LEAST_DOCS and z >= LEAST_Z:
-            scored.append((-z, f))
-    chosen = {f: k for k, (_, f) in enumerate(sorted(scored)[:MOST_FEATURES])}
-    if not chosen:
-        return {}, -40.0
-    doc, row, col = [], [], []
-    for d, bag in enumerate(bags):
-        for sentence in bag:
-            hits = [chosen[f] for f in sentence if f in chosen]
-            row += [len(doc)] * len(hits)
-            col += hits
-            doc.append(d)
-    doc, row, col = (np.array(x, np.int64) for x in (doc, row, col))
-    n_docs, n_sentences = len(bags), len(doc)
-    # p depends on what is found alone, so sentences without a hit share one value and count by document.
-    weight, bias = np.full(len(chosen), 0.5), -6.0
-    seen_w, seen_b = np.full(len(chosen), 1e-6), 1e-6
+class Bags:
+    """Labelled documents as sentences of word numbers; a word's features are numbers too, so a sample stays small."""
+
+    def __init__(self):
+        self.word: dict[bytes, int] = {}
+        self.feature: dict[str, int] = {}
+        self.of_word: list[list[int]] = []
+        self.ones, self.zeros = np.zeros(0, np.int64), np.zeros(0, np.int64)  # documents by feature and label
+        self.toxic: list[int] = []
+        self.doc_of: list[np.ndarray] = []  # of each sentence
+        self.sentence: list[np.ndarray] = []  # and word: distinct pairs
+        self.words: list[np.ndarray] = []
+        self.n_sentences = 0
+
+    def number(self, raw: bytes) -> int:
+        found = self.word.get(raw)
+        if found is None:
+            found = self.word[raw] = len(self.of_word)
+            self.of_word.append([self.feature.setdefault(f, len(self.feature)) for f in features(raw.decode())])
+        return found
+
+    def expanded(self, owner: np.ndarray, word: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (owner, feature) of pairs (owner, word); with chosen, of features it renumbers, -1 leaving out."""
+        lists = [self.of_word[k] for k in word.tolist()]
+        size = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+        flat = np.fromiter((f for x in lists for f in x), np.int64, int(size.sum()))
+        owner = np.repeat(owner, size)
+        if chosen is not None:
+            flat = chosen[flat]
+            owner, flat = owner[flat >= 0], flat[flat >= 0]
+        pairs = np.unique(owner << 32 | flat)
+        return pairs >> 32, pairs & 0xFFFFFFFF
+
+    def add(self, column: pa.Array, toxic: list[int]) -> None:
+        data, offsets = utf8(column)
+        w = words(data, offsets)
+        first_doc = len(self.toxic)
+        self.toxic += toxic
+        if not len(w.start):
+            return
+        sentence, first = sentences(data, w)
+        _, one, which = np.unique(word_hashes(data, w), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        number = np.array([self.number(raw[a:b]) for a, b in zip(w.start[one].tolist(), w.end[one].tolist(), strict=True)])[which]
+        grow = len(self.feature) - len(self.ones)
+        self.ones, self.zeros = (np.concatenate([x, np.zeros(grow, np.int64)]) for x in (self.ones, self.zeros))
+        pairs = np.unique(w.doc << 32 | number)
+        doc, feature = self.expanded(pairs >> 32, pairs & 0xFFFFFFFF)
+        label = np.array(toxic)[doc] == 1
+        self.ones += np.bincount(feature[label], minlength=len(self.ones))
+        self.zeros += np.bincount(feature[~label], minlength=len(self.zeros))
+        pairs = np.unique((sentence + self.n_sentences) << 32 | number)
+        self.sentence.append(pairs >> 32)
+        self.words.append(pairs & 0xFFFFFFFF)
+        self.doc_of.append(w.doc[first] + first_doc)
+        self.n_sentences += len(first)
+
+    def fit(self, rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
+        """Weights by feature and the bias."""
+        y = np.array(self.toxic, bool)
+        n1, n0 = int(y.sum()), int((~y).sum())
+        if not n1 or not n0 or not self.n_sentences:
+            return {}, -40.0
+        p = (self.ones + self.zeros) / (n1 + n0)
+        z = (self.ones / n1 - self.zeros / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
+        good = np.flatnonzero((self.ones >= LEAST_DOCS) & (z >= LEAST_Z))
+        good = good[np.argsort(-z[good], kind="stable")][:MOST_FEATURES]
+        if not len(good):
+            return {}, -40.0
+        chosen = np.full(len(self.feature), -1)
+        chosen[good] = np.arange(len(good))
+        useful = np.array([any(chosen[f] >= 0 for f in x) for x in self.of_word])
+        sentence, word = np.concatenate(self.sentence), np.concatenate(self.words)
+        live = useful[word]
+        row, col = self.expanded(sentence[live], word[live], chosen)
+        doc = np.concatenate(self.doc_of)
+        weight, bias = descend(row, col, doc, y, len(good), rounds)
+        names = list(self.feature)
+        return {names[f]: float(x) for f, x in zip(good.tolist(), weight, strict=True) if abs(x) > 1e-3}, bias
+
+
+def descend(row: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray, n_features: int, rounds: int) -> tuple[np.ndarray, float]:
+    """AdaGrad on the negative log likelihood of the noisy-or; row and col: sentences and their features, doc: of each sentence."""
+    n_docs, n_sentences = len(y), len(doc)
+    weight, bias = np.full(n_features, 0.5), -6.0
+    seen_w, seen_b = np.full(n_features, 1e-6), 1e-6
     has = np.bincount(doc, minlength=n_docs) > 0
     for _ in range(rounds):
         p = sigmoid(bias + np.bincount(row, weight[col], minlength=n_sentences))
@@ -102,26 +157,13 @@ def fit(bags: list[list[set[str]]], toxic: list[int], rounds: int = ROUNDS) -> t
         whole = np.clip(1 - clean, 1e-9, 1)
         slope = np.where(y, -clean / whole, 1.0) * has
         at_z = slope[doc] * p / n_docs
-        grad_w = np.bincount(col, at_z[row], minlength=len(chosen)) + 1e-5 * weight
+        grad_w = np.bincount(col, at_z[row], minlength=n_features) + 1e-5 * weight
         grad_b = at_z.sum()
         seen_w += grad_w**2
         seen_b += grad_b**2
         weight -= 0.3 * grad_w / np.sqrt(seen_w)
         bias = max(-14.0, bias - 0.1 * grad_b / np.sqrt(seen_b))
-    return {f: float(weight[k]) for f, k in chosen.items() if abs(weight[k]) > 1e-3}, float(bias)
-
-
-def bags_of(column: pa.Array) -> list[list[set[str]]]:
-    data, offsets = utf8(column)
-    w = words(data, offsets)
-    _, first = sentences(data, w)
-    raw = data.tobytes()
-    out: list[list[set[str]]] = [[] for _ in range(len(offsets) - 1)]
-    ends = np.append(first[1:], len(w.start))
-    for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-        found = {f for x in raw[w.start[a] : w.end[b - 1]].decode().split() for f in features(x)}
-        out[w.doc[a]].append(found)
-    return out
+    return weight, float(bias)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -137,11 +179,10 @@ def train(sample: DataFrame) -> bytes:
     bounded_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bags, toxic = [], []
+        bags = Bags()
         for batch in slices(batches, "text"):
-            bags += bags_of(batch.column(0))
-            toxic += batch.column(1).to_pylist()
-        weights, bias = fit(bags, toxic)
+            bags.add(batch.column(0), batch.column(1).to_pylist())
+        weights, bias = bags.fit()
         out = io.BytesIO()
         names = sorted(weights)
         np.savez_compressed(out, names=np.array(names, str), weights=np.array([weights[n] for n in names]), bias=bias)
