@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import binary_ids, bpe, media, mixing, ngram_join, pii, quality, token_counts, toxicity, url_filter
 from .common import table
+from .sql import SQL
 
 END_ID = 2
 
@@ -81,4 +82,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_link_graph_urls": op9_link_graph_urls,
     "op10_progressive_jpeg": op10_progressive_jpeg,
 }
-SQL: dict[str, str] = {}
+
+__all__ = ["QUERIES", "SQL"]
