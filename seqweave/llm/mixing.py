@@ -116,7 +116,7 @@ def weighted_fair_queue(docs: DataFrame, key: str = "doc_id", source: str = "sou
     # Readings: the finish time of reading e is (e * source_size + upto) / target; near time 1 the budget is spent.
     budget = placed.agg(F.sum("size")).first()[0] or 0
     live = (F.col("size") > 0) & (F.col("target") > 0)
-    cap = F.least(F.lit(most), (F.ceil(F.col("target") / F.col("source_size")) + 1).cast("int"))
+    cap = F.least(F.lit(most), F.coalesce(F.ceil(F.try_divide("target", F.col("source_size").cast("double"))) + 1, F.lit(0)).cast("int"))
     turns = placed.where(live).select("h", "key", "tie", "size", F.explode(F.sequence(F.lit(0), cap - 1)).alias("e"), "source_size", "upto", "target")
     turns = turns.select("h", "key", "tie", "size", "e", finish_time(F.col("e")).alias("finish"))
     low, last = cutoff(turns, budget)
@@ -141,7 +141,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
 
 
 def finish_time(reading: Column) -> Column:
-    return (reading * F.col("source_size") + F.col("upto")) / F.col("target")
+    """Null for a source without words, whose target is 0."""
+    return F.try_divide((reading * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))
 
 
 def cutoff(turns: DataFrame, budget: int) -> tuple[float | None, tuple | None]:
