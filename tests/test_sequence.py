@@ -55,6 +55,17 @@ def test_carry_scan(spark):
         carry = carry if c is None else c
 
 
+def test_three_levels(spark):
+    xs = [(5 * i) % 23 for i in range(5 * C * C + 3)]
+    s = make(spark, xs)
+    got = {r["pos"]: r["scan"] for r in scan.exclusive_scan(s, chunk=C, levels=3).collect()}
+    assert got == {i: sum(xs[:i]) for i in range(len(xs))}
+    codes = rows.map_values(s, lambda v: F.when(v < 3, v))
+    two, three = ({r["pos"]: r["scan"] for r in scan.exclusive_scan(codes, LAST, chunk=C, initial=F.lit(9), levels=k).collect()} for k in (2, 3))
+    assert two == three
+    assert sorted(r["pos"] for r in scan.renumber(s.where("value > 4"), chunk=C, levels=3).collect()) == list(range(sum(x > 4 for x in xs)))
+
+
 def test_scan_does_not_gather_rows(spark):
     plan = scan.exclusive_scan(rows.iota(spark, 100), chunk=C)._jdf.queryExecution().executedPlan().toString()
     singles = [line for line in plan.splitlines() if "SinglePartition" in line]
