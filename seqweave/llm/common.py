@@ -1,24 +1,24 @@
 """Helpers shared by the training-data operators.
 
-Text columns reach Python as Arrow batches.  A batch is cut again into slices of a few MB of text
+Text columns reach Python as Arrow batches.  A batch is cut again into slices of 2 MB of text
 (a longer text is a slice of its own), so that memory does not depend on the row count of a batch.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.ship import ship_package
+from ..plans.storage import new_path, shared_dir, stored
 
-SLICE_BYTES = 4 << 20
-ARROW_BATCH_BYTES = 8 << 20
+__all__ = ["bounded_batches", "ensure_columns", "new_path", "shared_dir", "slices", "spread", "stored", "table", "utf8", "with_columns"]
+
+SLICE_BYTES = 2 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,40 +31,12 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="seqweave-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back: a cut of the lineage that outlives its executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ensure_columns(df: DataFrame, *names: str) -> None:
     for name in names:
         if df.columns.count(name) != 1:
             raise ValueError(f"column {name!r} must be there once; there are {df.columns}")
 
 
-def text_or_empty(text: str = "text") -> Column:
-    return F.coalesce(F.col(text), F.lit(""))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
