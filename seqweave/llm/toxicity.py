@@ -33,9 +33,10 @@ MOST_NEGATIVE = 4000
 MOST_FEATURES = 20_000
 SENTENCE_WORDS = 60
 PREFIXES = (4, 5, 6, 7)
-LEAST_Z = 3.0
+LEAST_Z = 4.5
 LEAST_DOCS = 3
-ROUNDS = 300
+ROUNDS = 600
+STEP, BIAS_STEP = 1.0, 0.5
 MOST_CACHED = 400_000
 
 
@@ -161,8 +162,8 @@ def descend(row: np.ndarray, col: np.ndarray, doc: np.ndarray, y: np.ndarray, n_
         grad_b = at_z.sum()
         seen_w += grad_w**2
         seen_b += grad_b**2
-        weight -= 0.3 * grad_w / np.sqrt(seen_w)
-        bias = max(-14.0, bias - 0.1 * grad_b / np.sqrt(seen_b))
+        weight -= STEP * grad_w / np.sqrt(seen_w)
+        bias = max(-14.0, bias - BIAS_STEP * grad_b / np.sqrt(seen_b))
     return weight, float(bias)
 
 
