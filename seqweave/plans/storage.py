@@ -21,8 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: What this process has written; drop_stored deletes it.
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process, once no DataFrame that reads them is needed; returns their number."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def stored(df: DataFrame, what: str = "step") -> DataFrame:

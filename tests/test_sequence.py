@@ -181,3 +181,11 @@ def test_flat_tabulate(spark):
 
     for n in (0, 1, C, 3 * C + 7):
         assert values(halo.flat_tabulate(spark, n, lambda a, b: pa.array([i for i in range(a, b) if i % 2], pa.int64()), block=C)) == [i for i in range(n) if i % 2]
+
+
+def test_stored_tables_can_be_dropped(spark, monkeypatch):
+    from seqweave.plans import storage
+
+    monkeypatch.setattr(storage, "_written", [])
+    kept = rows.copied(rows.iota(spark, 5))
+    assert kept.count() == 5 and storage.drop_stored(spark) == 1 and storage.drop_stored(spark) == 0
