@@ -1,7 +1,7 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.  DataFrame functions only.
 
 Base spans.  For each kind the matches and the pieces between them come from two regular expression calls; the
-positions are running sums of their lengths, taken in blocks of the square root of their number.  The expressions
+positions are running sums of their lengths, taken in blocks of the square root of their number; what lambdas share is bound first.  The expressions
 use possessive quantifiers and start only where a run of their first class starts (or a match has ended), so
 that they find the same leftmost matches in time that grows with the text.  E-mail addresses; IPv4 addresses with parts of
 at most 255; card numbers of 13 to 19 digits with a right Luhn sum; phone numbers of 9 to 15 digits.
@@ -43,37 +43,62 @@ LEAST_SEEDS = 3
 LEAST_SCORE = 0.8
 
 
-def literal(pattern: str) -> Column:
-    return F.lit(pattern)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once: inside lambdas the optimizer would repeat it for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def located(parts: Column, gaps: Column) -> tuple[Column, Column, Column, Column]:
-    """Lengths, block sums, sums before blocks and ends of the matches `parts`, which stand between the pieces `gaps`; each but the first refers to the one before it as a column."""
-    n = F.size(parts)
-    side = F.ceil(F.sqrt(n)).cast("int")
-    lengths = F.transform(parts, lambda x, i: F.length(x) + F.length(F.get(gaps, i)))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / side).cast("int") - 1), lambda b: total(F.slice(F.col("_lengths"), b * side + 1, side)))
-    before = F.transform(F.col("_blocks"), lambda _, b: total(F.slice(F.col("_blocks"), F.lit(1), b)))
-    at = lambda i: (i - i % side)
-    ends = F.transform(F.col("_lengths"), lambda _, i: F.get(F.col("_before"), F.floor(i / side).cast("int")) + total(F.slice(F.col("_lengths"), at(i) + 1, i - at(i) + 1)))
-    return lengths, blocks, before, ends
+def total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+
+def ends(lengths: Column) -> Column:
+    """The running sums of an array, by sums of blocks of the square root of its size: n * sqrt(n) steps at most."""
+    n = F.size(lengths)
+
+    def inside(p: Column) -> Column:
+        xs, side, before = p["xs"], p["side"], p["before"]
+        return F.transform(xs, lambda _, i: F.get(before, F.floor(i / side).cast("int")) + total(F.slice(xs, i - i % side + 1, i % side + 1)))
+
+    def blocks(p: Column) -> Column:
+        xs, side = p["xs"], p["side"]
+        sums = F.transform(F.sequence(F.lit(0), F.ceil(n / side).cast("int") - 1), lambda b: total(F.slice(xs, b * side + 1, side)))
+        before = let(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))))
+        return let(F.struct(xs.alias("xs"), side.alias("side"), before.alias("before")), inside)
+
+    return let(F.struct(lengths.alias("xs"), F.ceil(F.sqrt(n)).cast("int").alias("side")), blocks)
 
 
 def matches(df: DataFrame, text: str, pattern: str, out: str, worth: Column) -> DataFrame:
     """df with `out`, the matches of the pattern as an array of start, end (code points, end exclusive), text; and `out`_gaps, the pieces between."""
     none = F.array().cast("array<string>")
-    df = df.withColumn("_parts", F.when(worth, F.regexp_extract_all(text, literal(pattern), F.lit(0))).otherwise(none))
+    df = df.withColumn("_parts", F.when(worth, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     some = F.size("_parts") > 0
-    df = df.withColumn("_gaps", F.when(some, F.split(text, pattern, -1)).otherwise(none))
-    lengths, blocks, before, ends = located(F.col("_parts"), F.col("_gaps"))
-    ints = F.array().cast("array<int>")
-    df = df.withColumn("_lengths", F.when(some, lengths).otherwise(ints))
-    df = df.withColumn("_blocks", F.when(some, blocks).otherwise(ints))
-    df = df.withColumn("_before", F.when(some, before).otherwise(ints))
-    df = df.withColumn("_ends", F.when(some, ends).otherwise(ints))
-    spans = F.transform("_parts", lambda x, i: F.struct((F.get("_ends", i) - F.length(x)).alias("start"), F.get("_ends", i).alias("end"), x.alias("text")))
-    return df.withColumn(out, spans).withColumnRenamed("_gaps", f"{out}_gaps").drop("_parts", "_lengths", "_blocks", "_before", "_ends")
+    df = df.withColumn(f"{out}_gaps", F.when(some, F.split(text, pattern, -1)).otherwise(none))
+    both = F.struct(F.col("_parts").alias("parts"), F.col(f"{out}_gaps").alias("gaps"))
+    sized = lambda p: F.struct(p["parts"].alias("parts"), F.transform(p["parts"], lambda x, i: F.length(x) + F.length(F.get(p["gaps"], i))).alias("lengths"))
+    with_ends = lambda p: F.struct(p["parts"].alias("parts"), ends(p["lengths"]).alias("ends"))
+    place = lambda p: F.transform(p["parts"], lambda x, i: F.struct((F.get(p["ends"], i) - F.length(x)).alias("start"), F.get(p["ends"], i).alias("end"), x.alias("text")))
+    spans = let(both, lambda p: let(sized(p), lambda q: let(with_ends(q), place)))
+    return df.withColumn(out, F.when(some, spans).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))).drop("_parts")
+
+
+def overlapping(words: Column, spans: Column, size: Column) -> Column:
+    """For each of words whether it overlaps a span; spans are looked up by blocks of the text, which has `size` code points."""
+    side = F.greatest(F.lit(1024), F.ceil(size / 1024)).cast("int")
+
+    def flags(p: Column) -> Column:
+        held, side_, words = p["blocks"], p["side"], p["words"]
+        near = lambda w: F.flatten(F.slice(held, F.floor(w["start"] / side_).cast("int") + 1, (F.floor((w["end"] - 1) / side_) - F.floor(w["start"] / side_)).cast("int") + 1))
+        return F.transform(words, lambda w: F.exists(near(w), lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+
+    def by_block(p: Column) -> Column:
+        held, side_ = p["spans"], p["side"]
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(size / side_).cast("int")), lambda b: F.filter(held, lambda s: (s["start"] < (b + 1) * side_) & (s["end"] > b * side_)))
+        return let(F.struct(blocks.alias("blocks"), side_.alias("side"), p["words"].alias("words")), flags)
+
+    none = F.transform(words, lambda _: F.lit(False))
+    return F.when((F.size(words) > 0) & (F.size(spans) > 0), let(F.struct(spans.alias("spans"), side.alias("side"), words.alias("words")), by_block)).otherwise(none)
 
 
 def digits(text: Column) -> Column:
@@ -120,11 +145,13 @@ def base_spans(docs: DataFrame, text: str = "text", context: bool = True) -> Dat
     df = df.withColumn("spans", F.concat(*[kept(k, true[k]) for k in KINDS])).drop(*(f"_{k}{x}" for k in KINDS for x in ("", "_gaps")))
     if context:
         df = matches(df, "_text", WORD_WITH_DIGITS, "_word", digit)
-        seed = lambda s: F.exists("spans", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+        seeds = overlapping(F.col("_word"), F.col("spans"), F.length("_text"))
         plain = lambda c: F.translate(F.lower(c), "123456789", "000000000")
-        left = lambda i: plain(F.trim(F.regexp_extract(F.right(F.get("_word_gaps", i), F.lit(80)), rf"([^{BLANK}]+[{BLANK}]+)?[^{BLANK}]+[{BLANK}]*$", 0)))
-        right = lambda i: plain(F.trim(F.regexp_extract(F.left(F.get("_word_gaps", i + 1), F.lit(80)), rf"^[{BLANK}]*[^{BLANK}]+([{BLANK}]+[^{BLANK}]+)?", 0)))
-        words = F.transform("_word", lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), left(i).alias("left"), right(i).alias("right"), seed(s).alias("seed")))
+        left = lambda gap: plain(F.trim(F.regexp_extract(F.right(gap, F.lit(80)), rf"([^{BLANK}]+[{BLANK}]+)?[^{BLANK}]+[{BLANK}]*$", 0)))
+        right = lambda gap: plain(F.trim(F.regexp_extract(F.left(gap, F.lit(80)), rf"^[{BLANK}]*[^{BLANK}]+([{BLANK}]+[^{BLANK}]+)?", 0)))
+        bound = F.struct(F.col("_word").alias("words"), F.col("_word_gaps").alias("gaps"), seeds.alias("seeds"))
+        word = lambda p: F.transform(p["words"], lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), left(F.get(p["gaps"], i)).alias("left"), right(F.get(p["gaps"], i + 1)).alias("right"), F.get(p["seeds"], i).alias("seed")))
+        words = F.when(F.size("_word") > 0, let(bound, word)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string,seed:boolean>>"))
         df = df.withColumn("words", words).drop("_word", "_word_gaps")
     return df.drop("_text")
 
