@@ -12,6 +12,7 @@ import unicodedata
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -27,7 +28,7 @@ NEW_LETTERS = (
     (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
 )
 NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
-MOST_CACHED = 600_000
+MOST_CACHED = 1_200_000
 
 
 @cache
@@ -135,18 +136,18 @@ class Memo:
         new = [x for x in distinct if x not in self.at]
         if new:
             lists = self.make(new)
-            sizes = np.fromiter((len(x) for x in lists), np.int64, len(lists))
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             count, total = len(self.at), int(sizes.sum())
             while len(self.flat) < self.used + total:
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             while len(self.start) < count + len(new):
                 self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + total] = np.fromiter((y for x in lists for y in x), np.int32, total)
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
             self.start[count : count + len(new)] = self.used + np.cumsum(sizes) - sizes
             self.size[count : count + len(new)] = sizes
             self.used += total
             self.at.update(zip(new, range(count, count + len(new)), strict=True))
-        return np.fromiter((self.at[x] for x in distinct), np.int64, len(distinct))
+        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
 
     def ragged(self, p: Pretokens) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all texts in a row, and the n + 1 offsets of the texts."""
