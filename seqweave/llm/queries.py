@@ -55,7 +55,7 @@ def op6_trie_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similarity_join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tie")
+    return ngram_join.similarity_join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tie", "class_tie")
 
 
 def op8_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,13 @@ def test_repeated_rows_and_keys(spark):
     assert Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect()) == {(None, text): 1, (1, "p q r s t u v"): 1, (None, None): 2}
 
 
+def test_classes_with_equal_least_keys(spark):
+    a, b, c, d = ("a b c d e f g h", "p q r s t u v", "one two three four five six", "k l m n o p q r")
+    rows = [(None, a), (2, a), (None, b), (3, b), (0, c), (5, c), (0, d), (6, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r["doc_id"], r["text"]) for r in ngram_join.keep_one(df).collect()) == {(None, a): 1, (None, b): 1, (0, c): 1, (0, d): 1}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
