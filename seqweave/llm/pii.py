@@ -6,14 +6,22 @@ use possessive quantifiers and start only where a run of their first class start
 that they find the same leftmost matches in time that grows with the text.  E-mail addresses; IPv4 addresses with parts of
 at most 255; card numbers of 13 to 19 digits with a right Luhn sum; phone numbers of 9 to 15 digits.
 
-Contextual extraction.  Candidates are words with at least 3 digits.  A candidate word is an instance; its two words before
-and its two words after, in lower case with digits as 0, are lexical patterns.  Instances that hold a base span are seeds of score
-1.  Rounds over the pattern-instance graph: a pattern's confidence is the mean score of its distinct instances times
-1 - 1 / (1 + its seeds), with at least LEAST_SEEDS distinct seeds; an instance's score is the noisy-or of its patterns' confidences.
-Instances that are no seeds and reach LEAST_SCORE are new identifiers, of kind `id`, wherever they stand.
+Contextual extraction.  Words are runs between blanks.  The instance of a base span is the words it touches, whole; its context
+is the two words before and the two words after it in the full text, whatever they are, in lower case with digits as 0: two lexical
+patterns.  Base instances are seeds.  A pattern with at least LEAST_SEEDS distinct seeds makes a candidate of any word that stands
+in it, and two patterns make one of any run of 2 to MOST_WORDS words between them (the nearest right one for each left one, and the
+reverse).  Rounds over the pattern-instance graph: a pattern's confidence is the mean score of the distinct seeds and words that stand
+in it, times 1 - 1 / (1 + its seeds); a candidate's score is the noisy-or of its patterns' confidences.  Patterns under LEAST_CONFIDENCE
+do not count, as many weak ones would add up for every common word.
 
-At scale: texts are read once and never shuffled; what is shuffled are candidates' hashes and patterns, as distinct edges, so
-copies of a passage count once; a word that stands in a third of all rows is split by the skew join.
+Candidates that reach LEAST_SCORE are new identifiers, of kind `id`, wherever they stand; one with fewer than 3 digits must have
+LEAST_SHARE of its occurrences in such patterns, so that an ordinary word is not taken for an identifier.  Runs go before the words in
+them.  With their patterns, new identifiers are seeds of the next pass over the text, of PASSES.
+
+Not found: an identifier of several words with a known pattern on one side only (its next word alone is), and ordinary words used as names.
+
+At scale: texts are stored once, beside their spans, and read again by each pass; what is shuffled are hashes of patterns and words at patterns
+with enough seeds, as distinct edges, so copies of a passage count once.  Texts are shuffled only if more than FEW of them hold new runs or identifiers.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; spans of one kind never overlap, those of two
 kinds may; other columns are passed on or left out as each function says; an empty table gives an empty one.
@@ -35,12 +43,18 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 BLANK = r"\x20\x09-\x0D"
-WORD_WITH_DIGITS = rf"(?<![^{BLANK}])[^{BLANK}0-9]*+(?:[0-9][^{BLANK}0-9]*+){{3,}}+"
+WORD = rf"[^{BLANK}]++"
 KINDS = ("email", "ip", "card", "phone")
 ID = "id"
 ROUNDS = 3
 LEAST_SEEDS = 3
 LEAST_SCORE = 0.8
+MOST_WORDS = 9
+LEAST_CONFIDENCE = 0.2
+LEAST_SHARE = 0.1
+PASSES = 3
+#: Tables of up to so many rows are broadcast.
+FEW = 200_000
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -83,22 +97,30 @@ def matches(df: DataFrame, text: str, pattern: str, out: str, worth: Column) ->
     return df.withColumn(out, F.when(some, spans).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))).drop("_parts")
 
 
-def overlapping(words: Column, spans: Column, size: Column) -> Column:
-    """For each of words whether it overlaps a span; spans are looked up by blocks of the text, which has `size` code points."""
-    side = F.greatest(F.lit(1024), F.ceil(size / 1024)).cast("int")
+def rank(xs: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many elements of an array fulfil `holds`, which only a prefix of them does: by halving."""
+    n = F.size(xs)
+    pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    mid = lambda a: F.shiftright(a["lo"] + a["hi"], 1)
+    step = lambda a, _: F.when(a["lo"] >= a["hi"], a).when(holds(F.get(xs, mid(a))), pair(mid(a) + 1, a["hi"])).otherwise(pair(a["lo"], mid(a)))
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int")), pair(F.lit(0), n), step, lambda a: a["lo"])
+
 
-    def flags(p: Column) -> Column:
-        held, side_, words = p["blocks"], p["side"], p["words"]
-        near = lambda w: F.flatten(F.slice(held, F.floor(w["start"] / side_).cast("int") + 1, (F.floor((w["end"] - 1) / side_) - F.floor(w["start"] / side_)).cast("int") + 1))
-        return F.transform(words, lambda w: F.exists(near(w), lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+def plain(text: Column) -> Column:
+    return F.translate(F.lower(text), "123456789", "000000000")
 
-    def by_block(p: Column) -> Column:
-        held, side_ = p["spans"], p["side"]
-        blocks = F.transform(F.sequence(F.lit(0), F.floor(size / side_).cast("int")), lambda b: F.filter(held, lambda s: (s["start"] < (b + 1) * side_) & (s["end"] > b * side_)))
-        return let(F.struct(blocks.alias("blocks"), side_.alias("side"), p["words"].alias("words")), flags)
 
-    none = F.transform(words, lambda _: F.lit(False))
-    return F.when((F.size(words) > 0) & (F.size(spans) > 0), let(F.struct(spans.alias("spans"), side.alias("side"), words.alias("words")), by_block)).otherwise(none)
+def words_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+
+
+def instance(words: Column, low: Column, first: Column, last: Column) -> Column:
+    """first, last, instance (a hash of the words first to last) and left and right, hashes of two words of `low` before and after; null at an end."""
+    return F.struct(
+        first.alias("first"), last.alias("last"), F.xxhash64(F.array_join(F.slice(words, first + 1, last - first + 1), " ")).alias("instance"),
+        F.when(first > 0, F.xxhash64(F.get(low, first - 2), F.get(low, first - 1))).alias("left"),
+        F.when(last < F.size(words) - 1, F.xxhash64(F.get(low, last + 1), F.get(low, last + 2))).alias("right"),
+    )
 
 
 def digits(text: Column) -> Column:
@@ -133,7 +155,7 @@ def kept(kind: str, true: Callable[[Column], Column]) -> Column:
 
 
 def base_spans(docs: DataFrame, text: str = "text", context: bool = True) -> DataFrame:
-    """docs with `spans` (array of kind, start, end in the order of KINDS, then start) and, with context, `words`: the candidate words as start, end, text, left, right, seed."""
+    """docs with `spans` (array of kind, start, end in the order of KINDS, then start) and, with context, `seeds`: their distinct instances."""
     text_ = F.coalesce(F.col(text), F.lit(""))
     df = docs.withColumn("_text", text_)
     digit = F.col("_text").rlike("[0-9]")
@@ -144,47 +166,150 @@ def base_spans(docs: DataFrame, text: str = "text", context: bool = True) -> Dat
     true = {"email": lambda _: F.lit(True), "ip": true_ip, "card": true_card, "phone": true_phone}
     df = df.withColumn("spans", F.concat(*[kept(k, true[k]) for k in KINDS])).drop(*(f"_{k}{x}" for k in KINDS for x in ("", "_gaps")))
     if context:
-        df = matches(df, "_text", WORD_WITH_DIGITS, "_word", digit)
-        seeds = overlapping(F.col("_word"), F.col("spans"), F.length("_text"))
-        plain = lambda c: F.translate(F.lower(c), "123456789", "000000000")
-        left = lambda gap: plain(F.trim(F.regexp_extract(F.right(gap, F.lit(80)), rf"([^{BLANK}]+[{BLANK}]+)?[^{BLANK}]+[{BLANK}]*$", 0)))
-        right = lambda gap: plain(F.trim(F.regexp_extract(F.left(gap, F.lit(80)), rf"^[{BLANK}]*[^{BLANK}]+([{BLANK}]+[^{BLANK}]+)?", 0)))
-        bound = F.struct(F.col("_word").alias("words"), F.col("_word_gaps").alias("gaps"), seeds.alias("seeds"))
-        word = lambda p: F.transform(p["words"], lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), left(F.get(p["gaps"], i)).alias("left"), right(F.get(p["gaps"], i + 1)).alias("right"), F.get(p["seeds"], i).alias("seed")))
-        words = F.when(F.size("_word") > 0, let(bound, word)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string,left:string,right:string,seed:boolean>>"))
-        df = df.withColumn("words", words).drop("_word", "_word_gaps")
+        some = F.size("spans") > 0
+        df = matches(df, "_text", WORD, "_word", some)
+        placed = F.struct(F.col("_word").alias("at"), F.transform("_word", lambda w: w["text"]).alias("words"), words_of(plain(F.col("_text"))).alias("low"), F.col("spans").alias("spans"))
+        ranges = lambda p: F.array_distinct(F.transform(p["spans"], lambda s: F.struct(rank(p["at"], lambda w: w["end"] <= s["start"]).alias("first"), (rank(p["at"], lambda w: w["start"] < s["end"]) - 1).alias("last"))))
+        seeds = let(placed, lambda p: F.transform(ranges(p), lambda x: instance(p["words"], p["low"], x["first"], x["last"])))
+        df = df.withColumn("seeds", F.when(some, seeds).otherwise(F.array().cast("array<struct<first:int,last:int,instance:bigint,left:bigint,right:bigint>>"))).drop("_word", "_word_gaps")
     return df.drop("_text")
 
 
-def bootstrap(words: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE) -> tuple[DataFrame, DataFrame]:
-    """New instances (instance, score) and patterns (pattern, confidence, seeds, instances) from text, left, right, seed of candidate words."""
-    pattern = F.explode(F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("words")), F.struct(F.lit("R").alias("side"), F.col("right").alias("words"))))
-    edges = words.select(F.xxhash64("text").alias("instance"), "seed", pattern.alias("p")).where("p.words <> ''")
-    edges = edges.groupBy("instance", F.xxhash64("p.side", "p.words").alias("pattern")).agg(F.max("seed").alias("seed"))
-    known = edges.groupBy("instance").agg(F.max("seed").alias("known"))
-    edges = stored(edges.select("instance", "pattern").join(known, "instance"), "edges")
-    scores = known.select("instance", F.col("known").cast("double").alias("score"))
-    patterns = None
+def few(df: DataFrame) -> DataFrame:
+    """A stored table, broadcast if a count says that it is small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def patterns_of(places: DataFrame) -> DataFrame:
+    """Distinct instance, side, h (a hash of the pattern's words) of places with instance, left, right."""
+    sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("h")), F.struct(F.lit("R").alias("side"), F.col("right").alias("h")))
+    return places.select("instance", F.inline(sides)).where("h is not null").distinct()
+
+
+def covering(places: DataFrame) -> DataFrame:
+    return places.select("row", F.explode(F.sequence("first", "last")).alias("word")).distinct()
+
+
+def hits(base: DataFrame, patterns: DataFrame, covered: DataFrame) -> DataFrame:
+    """row, side, h, word (its number) and token (its hash) where a word that no known instance covers stands in a pattern (side, h)."""
+    # Entry k holds the words k - 1 and k, as left pattern of word k + 1 and right pattern of word k - 2; entry 0 the first word alone.
+    token = lambda p, k: F.when((k >= 0) & (k < F.size(p["words"])), F.xxhash64(F.get(p["words"], k)))
+    entry = lambda p, k: F.struct(k.alias("k"), F.xxhash64(F.get(p["low"], k - 1), F.get(p["low"], k)).alias("h"), token(p, k + 1).alias("after"), token(p, k - 2).alias("before"))
+    entries = let(F.struct(words_of(F.col("text")).alias("words"), words_of(plain(F.col("text"))).alias("low")), lambda p: F.transform(F.sequence(F.lit(0), F.size(p["words"])), lambda k: entry(p, k)))
+    left = F.col("side") == "L"
+    met = base.select("row", F.inline(entries)).join(few(patterns.select("side", "h")), "h")
+    met = met.select("row", "side", "h", F.when(left, F.col("k") + 1).otherwise(F.col("k") - 2).alias("word"), F.when(left, F.col("after")).otherwise(F.col("before")).alias("token")).where("token is not null")
+    return met.join(covered, ["row", "word"], "left_anti")
+
+
+def places_of(base: DataFrame, ranges: DataFrame) -> DataFrame:
+    """row, digits (of its words) and the fields of instance() for ranges: row, first, last."""
+    by_row = stored(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    met = base.select("row", "text").join(few(by_row), "row")
+    bound = F.struct(words_of(F.col("text")).alias("words"), words_of(plain(F.col("text"))).alias("low"), F.col("ranges").alias("ranges"))
+    one = lambda p, x: F.struct(instance(p["words"], p["low"], x["first"], x["last"]).alias("at"), F.length(digits(F.array_join(F.slice(p["words"], x["first"] + 1, x["last"] - x["first"] + 1), " "))).alias("digits"), F.xxhash64(F.get(p["words"], x["first"])).alias("head"))
+    inside = lambda p: F.filter(p["ranges"], lambda x: x["last"] < F.size(p["words"]))
+    return met.select("row", F.inline(let(bound, lambda p: F.transform(inside(p), lambda x: one(p, x))))).select("row", "digits", "head", "at.*")
+
+
+def occurrences(base: DataFrame, new: DataFrame, covered: DataFrame) -> DataFrame:
+    """Places of the instances of new (instance, head, n) wherever they stand clear of covered words."""
+    entries = let(words_of(F.col("text")), lambda w: F.transform(w, lambda x, k: F.struct(k.alias("first"), F.xxhash64(x).alias("head"))))
+    heads = stored(new.select("head", "n").distinct(), "heads")
+    met = base.select("row", F.inline(entries)).join(few(heads), "head").select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    met = places_of(base, stored(met, "ranges")).join(few(new.select("instance")), "instance", "left_semi")
+    return stored(clear(met, covered), "places")
+
+
+def clear(places: DataFrame, covered: DataFrame) -> DataFrame:
+    """Places none of whose words is covered."""
+    words = places.select("row", "first", "last", F.explode(F.sequence("first", "last")).alias("word"))
+    bad = words.join(covered, ["row", "word"]).select("row", "first", "last").distinct()
+    return places.join(bad, ["row", "first", "last"], "left_anti")
+
+
+def runs(at: DataFrame) -> DataFrame:
+    """row, first, last, lh, rh of runs of 2 to MOST_WORDS words between a left and a right pattern of hits, each with the nearest."""
+    block = lambda c: F.floor(F.col(c) / MOST_WORDS)
+    left = at.where("side = 'L'").select("row", F.col("word").alias("first"), F.col("h").alias("lh")).withColumn("block", F.explode(F.array(block("first"), block("first") + 1)))
+    right = at.where("side = 'R'").select("row", F.col("word").alias("last"), F.col("h").alias("rh")).withColumn("block", block("last"))
+    both = left.join(right, ["row", "block"]).where(F.col("last").between(F.col("first"), F.col("first") + MOST_WORDS - 1))
+    near = both.groupBy("row", "first", "lh").agg(F.min(F.struct("last", "rh")).alias("x")).select("row", "first", "lh", "x.*")
+    near = near.groupBy("row", "last", "rh").agg(F.max(F.struct("first", "lh")).alias("x")).select("row", "last", "rh", "x.*")
+    return near.where("last > first")
+
+
+def noisy_or(confidence: str = "confidence") -> Column:
+    return 1 - F.exp(F.sum(F.log1p(-F.least(confidence, F.lit(1 - 1e-9)))))
+
+
+def confidences(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
+    """side, h, confidence from edges (distinct side, h, token of words that are no seeds) and seeds (side, h, seeds)."""
+    mean = (F.col("seeds") + F.coalesce("sum", F.lit(0.0))) / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
+    scores = edges.select("token").distinct().select("token", F.lit(0.0).alias("score"))
     for _ in range(rounds):
-        scored = edges.join(scores, "instance")
-        patterns = scored.groupBy("pattern").agg(F.sum("score").alias("sum"), F.count("*").alias("instances"), F.sum(F.col("known").cast("long")).alias("seeds"))
-        patterns = patterns.where(F.col("seeds") >= least_seeds).select("pattern", (F.col("sum") / F.col("instances") * (1 - 1 / (1 + F.col("seeds")))).alias("confidence"), "seeds", "instances")
-        patterns = stored(patterns, "patterns")
-        reached = edges.where("not known").join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(1 - 1e-9)))))).alias("reach"))
-        scores = stored(known.join(reached, "instance", "left").select("instance", F.when(F.col("known"), 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("score")), "scores")
-    new = scores.join(known.where("not known").select("instance"), "instance", "left_semi").where(F.col("score") >= least_score)
-    return new, patterns
+        sums = edges.join(scores, "token").groupBy("side", "h").agg(F.sum("score").alias("sum"), F.count("*").alias("others"))
+        patterns = stored(seeds.join(sums, ["side", "h"], "left").select("side", "h", mean.alias("confidence"), "seeds").where(F.col("confidence") >= LEAST_CONFIDENCE), "patterns")
+        scores = stored(edges.join(patterns, ["side", "h"], "left").groupBy("token").agg(F.coalesce(noisy_or(), F.lit(0.0)).alias("score")), "scores")
+    return patterns
+
+
+def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, passes: int = PASSES) -> DataFrame | None:
+    """row, first, last of new identifiers in base (row, text, seeds), by numbers of words; None if there are none."""
+    seeds = base.select("row", F.inline("seeds"))
+    spans = stored(covering(seeds), "covered")
+    known, covered, found, seen = stored(patterns_of(seeds), "known"), spans, None, 0
+    for _ in range(passes):
+        active = stored(known.groupBy("side", "h").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds), "active")
+        if active.isEmpty():
+            break
+        # Patterns that their words leave below the least confidence go before any place is written.
+        others = hits(base, active, covered).select("side", "h", "token").distinct().groupBy("side", "h").agg(F.count("*").alias("others"))
+        bound = F.col("seeds") / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
+        strong = stored(active.join(others, ["side", "h"], "left").where(bound >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "strong")
+        if strong.isEmpty():
+            break
+        at = stored(hits(base, strong, covered), "hits")
+        patterns = confidences(stored(at.select("side", "h", "token").distinct(), "edges"), strong, rounds)
+        at = stored(at.join(patterns.select("side", "h", "confidence"), ["side", "h"]), "hits")
+        # Runs first, then words outside of them.
+        sure = lambda side, h: patterns.select(F.col("h").alias(h), F.col("confidence").alias(f"c{h}")).where(F.col("side") == side)
+        long = clear(runs(at), covered).join(sure("L", "lh"), "lh").join(sure("R", "rh"), "rh").where(1 - (1 - F.col("clh")) * (1 - F.col("crh")) >= least_score)
+        long = stored(long.select("row", "first", "last"), "runs")
+        short = at.join(covering(long), ["row", "word"], "left_anti")
+        good = short.select("token", "side", "h", "confidence").distinct().groupBy("token").agg(noisy_or().alias("score")).where(F.col("score") >= least_score)
+        short = short.join(good, "token", "left_semi").select("row", F.col("word").alias("first"), F.col("word").alias("last")).distinct()
+        inside = stored(places_of(base, stored(long.union(short), "candidates")), "inside")
+        new = stored(inside.groupBy("instance").agg(F.first("head").alias("head"), F.first(F.col("last") - F.col("first") + 1).alias("n"), F.first("digits").alias("digits"), F.count("*").alias("inside")), "new")
+        if new.isEmpty():
+            break
+        every = occurrences(base, new, covered)
+        share = every.groupBy("instance").agg(F.count("*").alias("all")).join(new, "instance").where((F.col("digits") >= 3) | (F.col("inside") >= LEAST_SHARE * F.col("all")))
+        fresh = every.join(share.select("instance"), "instance", "left_semi").select("row", "first", "last", "instance", "left", "right")
+        found = stored(fresh if found is None else found.unionByName(fresh), "found")
+        known = stored(known.union(patterns_of(found)).distinct(), "known")
+        covered = stored(spans.union(covering(found)).distinct(), "covered")
+        count = found.count()
+        if count == seen:
+            break
+        seen = count
+    return found
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: key, tie (a hash of the text), spans (base ones, then new ones of kind `id`, by kind and start)."""
     ensure_columns(docs, key, text)
     base = base_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie")))
-    base = stored(base.select(F.monotonically_increasing_id().alias("row"), "key", "tie", "spans", "words"), "spans")
-    words = base.select("row", F.explode("words").alias("w")).select("row", "w.*")
-    new, _ = bootstrap(words)
-    found = words.where("not seed").select("row", "start", "end", F.xxhash64("text").alias("at")).join(new.select(F.col("instance").alias("at")), "at")
-    found = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.lit(ID).alias("kind"), "start", "end"))).alias("more"))
+    base = stored(base.select(F.monotonically_increasing_id().alias("row"), "key", "tie", F.coalesce("text", F.lit("")).alias("text"), "spans", "seeds"), "spans")
+    new = bootstrap(base)
+    if new is None:
+        return base.select(F.col("key").alias(key), "tie", "spans")
+    by_row = stored(new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")), "marks")
+    met = matches(base.select("row", "text").join(few(by_row), "row"), "text", WORD, "_word", F.lit(True))
+    # Of ranges that overlap (in one text, found in different ways) the later one goes on where the earlier one ends.
+    joined = lambda p: F.aggregate(p["ranges"], F.array().cast("array<struct<first:int,last:int>>"), lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["last"] >= x["first"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["first"].alias("first"), F.greatest(F.get(a, F.size(a) - 1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))))
+    spans = let(F.struct(F.col("_word").alias("words"), F.col("ranges").alias("ranges")), lambda p: F.transform(joined(p), lambda x: F.struct(F.lit(ID).alias("kind"), F.get(p["words"], x["first"])["start"].alias("start"), F.get(p["words"], x["last"])["end"].alias("end"))))
+    found = met.select("row", spans.alias("more"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return base.join(found, "row", "left").select(F.col("key").alias(key), "tie", F.concat("spans", F.coalesce("more", none)).alias("spans"))
 

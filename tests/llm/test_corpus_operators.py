@@ -167,6 +167,22 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert clean[0].endswith("customer account [CARD] was billed today") and clean[41] == "other talk, customer account [ID] was billed today" and clean[50] == texts[50]
 
 
+def found(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"] for r in pii.find(df).collect()}
+    return [[t[s["start"] : s["end"]] for s in out[k] if s["kind"] == pii.ID] for k, t in enumerate(texts)]
+
+
+def test_identifiers_without_digits_and_of_several_words(spark):
+    name = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03}")
+    # Mails without digits are seeds; handles, masked mails and numbers of several words stand in their contexts.
+    texts = [f"note {name(k)}, please write to {name(k)}@acme.com for more help" for k in range(40)]
+    want = ["jdoe", "jane(at)acme", "AB 1234 5678", "john dot doe"]
+    texts += [f"note {name(50 + k)}, please write to {w} for more help" for k, w in enumerate(want)]
+    texts += [f"thanks jdoe and {name(70 + k)} of the book" for k in range(3)]
+    assert found(spark, texts) == [[]] * 40 + [[w] for w in want] + [["jdoe"]] * 3
+
+
 def test_redaction_of_overlaps(spark):
     texts = [None, "", "mail a@b.c and +1 (555) 123-4567, ip 1.2.3.4.", "+4111111111111111 x", "é🙂 a@b.c"]
     df = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n int")
