@@ -183,6 +183,14 @@ def test_identifiers_without_digits_and_of_several_words(spark):
     assert found(spark, texts) == [[]] * 40 + [[w] for w in want] + [["jdoe"]] * 3
 
 
+def test_contexts_are_whole(spark):
+    # Neighbours are candidates themselves, and a gap is longer than 80 blanks.
+    texts = [f"entry {k} id: AB{10000 + k} 2024-01-02 10.0.0.{k} 10:20:30 end {k}" for k in range(40)]
+    texts += ["entry 90 id: AB12345 2024-01-02 K99817 10:20:30 end 90", "entry 91 id: AB12346 2024-01-02" + " " * 90 + "K99818 x"]
+    out = found(spark, texts)
+    assert "K99817" in out[40] and "K99818" in out[41]
+
+
 def test_redaction_of_overlaps(spark):
     texts = [None, "", "mail a@b.c and +1 (555) 123-4567, ip 1.2.3.4.", "+4111111111111111 x", "é🙂 a@b.c"]
     df = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "doc_id long, text string, n int")
