@@ -15,7 +15,7 @@ in it, times 1 - 1 / (1 + its seeds); a candidate's score is the noisy-or of its
 do not count, as many weak ones would add up for every common word.
 
 Candidates that reach LEAST_SCORE are new identifiers, of kind `id`, wherever they stand; one with fewer than 3 digits must have
-LEAST_SHARE of its occurrences in such patterns, so that an ordinary word is not taken for an identifier.  Runs go before the words in
+LEAST_SHARE of its distinct contexts in such patterns, so that an ordinary word is not taken for an identifier.  Runs go before the words in
 them.  With their patterns, new identifiers are seeds of the next pass over the text, of PASSES.
 
 Not found: an identifier of several words with a known pattern on one side only (its next word alone is), and ordinary words used as names.
@@ -280,11 +280,11 @@ def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
         good = short.select("token", "side", "h", "confidence").distinct().groupBy("token").agg(noisy_or().alias("score")).where(F.col("score") >= least_score)
         short = short.join(good, "token", "left_semi").select("row", F.col("word").alias("first"), F.col("word").alias("last")).distinct()
         inside = stored(places_of(base, stored(long.union(short), "candidates")), "inside")
-        new = stored(inside.groupBy("instance").agg(F.first("head").alias("head"), F.first(F.col("last") - F.col("first") + 1).alias("n"), F.first("digits").alias("digits"), F.count("*").alias("inside")), "new")
+        new = stored(inside.groupBy("instance").agg(F.first("head").alias("head"), F.first(F.col("last") - F.col("first") + 1).alias("n"), F.first("digits").alias("digits"), F.count_distinct(F.struct("left", "right")).alias("inside")), "new")
         if new.isEmpty():
             break
         every = occurrences(base, new, covered)
-        share = every.groupBy("instance").agg(F.count("*").alias("all")).join(new, "instance").where((F.col("digits") >= 3) | (F.col("inside") >= LEAST_SHARE * F.col("all")))
+        share = every.groupBy("instance").agg(F.count_distinct(F.struct("left", "right")).alias("all")).join(new, "instance").where((F.col("digits") >= 3) | (F.col("inside") >= LEAST_SHARE * F.col("all")))
         fresh = every.join(share.select("instance"), "instance", "left_semi").select("row", "first", "last", "instance", "left", "right")
         found = stored(fresh if found is None else found.unionByName(fresh), "found")
         known = stored(known.union(patterns_of(found)).distinct(), "known")
