@@ -6,22 +6,26 @@ use possessive quantifiers and start only where a run of their first class start
 that they find the same leftmost matches in time that grows with the text.  E-mail addresses; IPv4 addresses with parts of
 at most 255; card numbers of 13 to 19 digits with a right Luhn sum; phone numbers of 9 to 15 digits.
 
-Contextual extraction.  Words are runs between blanks.  The instance of a base span is the words it touches, whole; its context
-is the two words before and the two words after it in the full text, whatever they are, in lower case with digits as 0: two lexical
-patterns.  Base instances are seeds.  A pattern with at least LEAST_SEEDS distinct seeds makes a candidate of any word that stands
-in it, and two patterns make one of any run of 2 to MOST_WORDS words between them (the nearest right one for each left one, and the
-reverse).  Rounds over the pattern-instance graph: a pattern's confidence is the mean score of the distinct seeds and words that stand
-in it, times 1 - 1 / (1 + its seeds); a candidate's score is the noisy-or of its patterns' confidences.  Patterns under LEAST_CONFIDENCE
-do not count, as many weak ones would add up for every common word.
+Contextual extraction.  Words are runs between blanks.  The instance of a base span is the words it touches, whole.  Its lexical patterns
+are its contexts (the two words before and the two after it in the full text, whatever they are, in lower case with digits as 0) and, if it is one
+word of SHORT characters or more, its forms: its first four characters, its shape, and from 16 characters on which kinds of characters it has.
+Base instances are seeds.  A pattern with LEAST_SEEDS distinct seeds or more makes a candidate of any word that has it, and two contexts make one of any
+run of 2 to MOST_WORDS words between them (the nearest right one for each left one, and the reverse).
 
-Candidates that reach LEAST_SCORE are new identifiers, of kind `id`, wherever they stand; one with fewer than 3 digits must have
-LEAST_SHARE of its distinct contexts in such patterns, so that an ordinary word is not taken for an identifier.  Runs go before the words in
-them.  With their patterns, new identifiers are seeds of the next pass over the text, of PASSES.
+Rounds over the pattern-instance graph: a pattern's confidence is the mean score of the distinct seeds and words that have it, times 1 - 1 / (1 + its
+seeds); a candidate's score is the noisy-or of its best form and its contexts.  Patterns under LEAST_CONFIDENCE do not count, as many weak ones would
+add up for every common word.  So a form such as "16 characters or more, letters and digits" speaks for an identifier only if a good part of the corpus's
+distinct words of that form are known ones; where most are dates, paths or hashes it is dropped.
 
-Not found: an identifier of several words with a known pattern on one side only (its next word alone is), and ordinary words used as names.
+Candidates that reach LEAST_SCORE are new identifiers, of kind `id`, wherever they stand; one with fewer than 3 digits that no form speaks for
+must have LEAST_SHARE of its distinct contexts in such patterns, so that an ordinary word is not taken for an identifier.  Runs go before the
+words in them.  New identifiers are seeds of the next pass over the text, of PASSES: keys found by their form give contexts and heads that find others.
 
-At scale: texts are stored once, beside their spans, and read again by each pass; what is shuffled are hashes of patterns and words at patterns
-with enough seeds, as distinct edges, so copies of a passage count once.  Texts are shuffled only if more than FEW of them hold new runs or identifiers.
+Not found: an identifier of several words with a known context on one side only (its next word alone is), and ordinary words used as names.
+
+At scale: texts are stored once, beside their spans, and read again by each pass; what is shuffled are the distinct words, hashes of patterns and words at
+patterns with enough seeds, as distinct edges, so copies of a passage count once.  Contexts that common words stand in go first, by an estimate of fixed size
+for each.  Texts are shuffled only if more than FEW of them hold new identifiers.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; spans of one kind never overlap, those of two
 kinds may; other columns are passed on or left out as each function says; an empty table gives an empty one.
@@ -46,13 +50,17 @@ BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]++"
 KINDS = ("email", "ip", "card", "phone")
 ID = "id"
-ROUNDS = 3
+ROUNDS = 4
 LEAST_SEEDS = 3
 LEAST_SCORE = 0.8
 MOST_WORDS = 9
 LEAST_CONFIDENCE = 0.2
 LEAST_SHARE = 0.1
 PASSES = 3
+#: Words of fewer characters have no forms.
+SHORT = 8
+#: An estimated number of words may be so many times too high.
+SLACK = 2.0
 #: Tables of up to so many rows are broadcast.
 FEW = 200_000
 
@@ -107,7 +115,7 @@ def rank(xs: Column, holds: Callable[[Column], Column]) -> Column:
 
 
 def plain(text: Column) -> Column:
-    return F.translate(F.lower(text), "123456789", "000000000")
+    return F.regexp_replace(F.lower(text), "[1-9]", "0")
 
 
 def words_of(text: Column) -> Column:
@@ -115,9 +123,9 @@ def words_of(text: Column) -> Column:
 
 
 def instance(words: Column, low: Column, first: Column, last: Column) -> Column:
-    """first, last, instance (a hash of the words first to last) and left and right, hashes of two words of `low` before and after; null at an end."""
+    """first, last, instance (a hash of the words first to last), word (a single one) and left and right, hashes of two words of `low` before and after; null at an end."""
     return F.struct(
-        first.alias("first"), last.alias("last"), F.xxhash64(F.array_join(F.slice(words, first + 1, last - first + 1), " ")).alias("instance"),
+        first.alias("first"), last.alias("last"), F.xxhash64(F.array_join(F.slice(words, first + 1, last - first + 1), " ")).alias("instance"), F.when(first == last, F.get(words, first)).alias("word"),
         F.when(first > 0, F.xxhash64(F.get(low, first - 2), F.get(low, first - 1))).alias("left"),
         F.when(last < F.size(words) - 1, F.xxhash64(F.get(low, last + 1), F.get(low, last + 2))).alias("right"),
     )
@@ -171,7 +179,7 @@ def base_spans(docs: DataFrame, text: str = "text", context: bool = True) -> Dat
         placed = F.struct(F.col("_word").alias("at"), F.transform("_word", lambda w: w["text"]).alias("words"), words_of(plain(F.col("_text"))).alias("low"), F.col("spans").alias("spans"))
         ranges = lambda p: F.array_distinct(F.transform(p["spans"], lambda s: F.struct(rank(p["at"], lambda w: w["end"] <= s["start"]).alias("first"), (rank(p["at"], lambda w: w["start"] < s["end"]) - 1).alias("last"))))
         seeds = let(placed, lambda p: F.transform(ranges(p), lambda x: instance(p["words"], p["low"], x["first"], x["last"])))
-        df = df.withColumn("seeds", F.when(some, seeds).otherwise(F.array().cast("array<struct<first:int,last:int,instance:bigint,left:bigint,right:bigint>>"))).drop("_word", "_word_gaps")
+        df = df.withColumn("seeds", F.when(some, seeds).otherwise(F.array().cast("array<struct<first:int,last:int,instance:bigint,word:string,left:bigint,right:bigint>>"))).drop("_word", "_word_gaps")
     return df.drop("_text")
 
 
@@ -180,45 +188,86 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def forms(word: Column) -> Column:
+    """Hashes of the lexical patterns inside a word of SHORT characters or more: an array, empty for a shorter one.
+
+    Its first four characters; its shape (runs of letters of a case and of digits as one sign each) with its length to a power of two;
+    and from 16 characters on, which kinds of characters it has, and whether it has letters and digits at all.
+    """
+    size = F.least(F.floor(F.log2(F.length(word))), F.lit(5))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Nd}+", "0"), r"\p{Lu}+", "A"), r"[\p{L}&&[^A]]+", "a")
+    lower, upper, digit = F.contains(shape, F.lit("a")), F.contains(shape, F.lit("A")), F.contains(shape, F.lit("0"))
+    other = F.length(F.translate(shape, "aA0", "")) > 0
+    long = F.array(F.xxhash64(F.lit("kinds"), lower, upper, digit, other, size), F.xxhash64(F.lit("mixed"), lower | upper, digit))
+    short = F.array(F.xxhash64(F.lit("head"), plain(F.substring(word, 1, 4))), F.xxhash64(F.lit("shape"), shape, size))
+    return F.when(F.length(word) < SHORT, F.array().cast("array<bigint>")).when(size >= 4, F.concat(short, long)).otherwise(short)
+
+
+def contexts_of() -> Column:
+    return F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("h")), F.struct(F.lit("R").alias("side"), F.col("right").alias("h")))
+
+
 def patterns_of(places: DataFrame) -> DataFrame:
-    """Distinct instance, side, h (a hash of the pattern's words) of places with instance, left, right."""
-    sides = F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("h")), F.struct(F.lit("R").alias("side"), F.col("right").alias("h")))
-    return places.select("instance", F.inline(sides)).where("h is not null").distinct()
+    """Distinct instance, side (L, R: contexts; F: a form), h of places with instance, left, right and, of single words, word."""
+    contexts = places.select("instance", F.inline(contexts_of())).where("h is not null")
+    inner = places.where("word is not null").select("instance", "word").distinct().select("instance", F.lit("F").alias("side"), F.explode(forms(F.col("word"))).alias("h"))
+    return contexts.unionByName(inner).distinct()
 
 
 def covering(places: DataFrame) -> DataFrame:
     return places.select("row", F.explode(F.sequence("first", "last")).alias("word")).distinct()
 
 
-def hits(base: DataFrame, patterns: DataFrame, covered: DataFrame) -> DataFrame:
-    """row, side, h, word (its number) and token (its hash) where a word that no known instance covers stands in a pattern (side, h)."""
-    # Entry k holds the words k - 1 and k, as left pattern of word k + 1 and right pattern of word k - 2; entry 0 the first word alone.
-    token = lambda p, k: F.when((k >= 0) & (k < F.size(p["words"])), F.xxhash64(F.get(p["words"], k)))
-    entry = lambda p, k: F.struct(k.alias("k"), F.xxhash64(F.get(p["low"], k - 1), F.get(p["low"], k)).alias("h"), token(p, k + 1).alias("after"), token(p, k - 2).alias("before"))
-    entries = let(F.struct(words_of(F.col("text")).alias("words"), words_of(plain(F.col("text"))).alias("low")), lambda p: F.transform(F.sequence(F.lit(0), F.size(p["words"])), lambda k: entry(p, k)))
-    left = F.col("side") == "L"
-    met = base.select("row", F.inline(entries)).join(few(patterns.select("side", "h")), "h")
-    met = met.select("row", "side", "h", F.when(left, F.col("k") + 1).otherwise(F.col("k") - 2).alias("word"), F.when(left, F.col("after")).otherwise(F.col("before")).alias("token")).where("token is not null")
-    return met.join(covered, ["row", "word"], "left_anti")
+def split_words(text: Column) -> Column:
+    """The words as a pattern of one sign splits them, in which Java is several times as fast as in longer ones."""
+    return F.array_remove(F.split(text, "[ \t\n\x0b\x0c\r]"), "")
+
+
+def placed(base: DataFrame) -> DataFrame:
+    """row, at (the number of the word), raw, and left and right (hashes of its contexts) of every word: arrays side by side, then code without lambdas."""
+    text = F.col("text")
+    cut = base.select("row", split_words(text).alias("raw"), split_words(plain(text)).alias("low"))
+    none = F.lit(None).cast("string")
+    wide = cut.select(
+        "row", "raw", F.concat(F.array(none, none), "low").alias("p2"), F.concat(F.array(none), "low").alias("p1"),
+        F.slice("low", F.lit(2), F.size("low")).alias("n1"), F.slice("low", F.lit(3), F.size("low")).alias("n2"), F.sequence(F.lit(0), F.size("low")).alias("at"),
+    )
+    rows = wide.select("row", F.inline(F.arrays_zip("raw", "p2", "p1", "n1", "n2", "at"))).where("raw is not null")
+    return rows.select("row", "at", "raw", F.when(F.col("p1").isNotNull(), F.xxhash64("p2", "p1")).alias("left"), F.when(F.col("n1").isNotNull(), F.xxhash64("n1", "n2")).alias("right"))
+
+
+def hits(base: DataFrame, patterns: DataFrame) -> DataFrame:
+    """row, word (its number), token (its hash), side and h where a word stands in one of the contexts (a stored table: side, h)."""
+    of = lambda s, name: few(patterns.where(F.col("side") == s).select(F.col("h").alias(name), F.lit(True).alias(f"in_{name}")))
+    met = placed(base).join(of("L", "left"), "left", "left").join(of("R", "right"), "right", "left").where("in_left or in_right")
+    sides = F.array(F.struct(F.lit("L").alias("side"), F.when(F.col("in_left"), F.col("left")).alias("h")), F.struct(F.lit("R").alias("side"), F.when(F.col("in_right"), F.col("right")).alias("h")))
+    return met.select("row", F.col("at").alias("word"), F.xxhash64("raw").alias("token"), F.inline(sides)).where("h is not null")
+
+
+def vocabulary(base: DataFrame) -> DataFrame:
+    """token and h of every distinct word of SHORT characters or more and each of its forms."""
+    words = base.select(F.explode(F.array_distinct(split_words(F.col("text")))).alias("raw")).where(F.length("raw") >= SHORT).distinct()
+    return words.select(F.xxhash64("raw").alias("token"), F.explode(forms(F.col("raw"))).alias("h"))
 
 
 def places_of(base: DataFrame, ranges: DataFrame) -> DataFrame:
-    """row, digits (of its words) and the fields of instance() for ranges: row, first, last."""
+    """row, head (hash of the first word) and the fields of instance() for ranges: row, first, last."""
     by_row = stored(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
     met = base.select("row", "text").join(few(by_row), "row")
     bound = F.struct(words_of(F.col("text")).alias("words"), words_of(plain(F.col("text"))).alias("low"), F.col("ranges").alias("ranges"))
-    one = lambda p, x: F.struct(instance(p["words"], p["low"], x["first"], x["last"]).alias("at"), F.length(digits(F.array_join(F.slice(p["words"], x["first"] + 1, x["last"] - x["first"] + 1), " "))).alias("digits"), F.xxhash64(F.get(p["words"], x["first"])).alias("head"))
+    one = lambda p, x: F.struct(instance(p["words"], p["low"], x["first"], x["last"]).alias("at"), F.xxhash64(F.get(p["words"], x["first"])).alias("head"))
     inside = lambda p: F.filter(p["ranges"], lambda x: x["last"] < F.size(p["words"]))
-    return met.select("row", F.inline(let(bound, lambda p: F.transform(inside(p), lambda x: one(p, x))))).select("row", "digits", "head", "at.*")
+    return met.select("row", F.inline(let(bound, lambda p: F.transform(inside(p), lambda x: one(p, x))))).select("row", "head", "at.*")
 
 
-def occurrences(base: DataFrame, new: DataFrame, covered: DataFrame) -> DataFrame:
-    """Places of the instances of new (instance, head, n) wherever they stand clear of covered words."""
-    entries = let(words_of(F.col("text")), lambda w: F.transform(w, lambda x, k: F.struct(k.alias("first"), F.xxhash64(x).alias("head"))))
+def long_instances(base: DataFrame, ranges: DataFrame, covered: DataFrame) -> DataFrame:
+    """Places of the instances of several words at ranges (row, first, last), wherever they stand clear of covered words."""
+    new = stored(places_of(base, ranges).select("instance", "head", (F.col("last") - F.col("first") + 1).alias("n")).distinct(), "new")
     heads = stored(new.select("head", "n").distinct(), "heads")
-    met = base.select("row", F.inline(entries)).join(few(heads), "head").select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    words = base.select("row", F.posexplode(split_words(F.col("text"))).alias("first", "raw")).withColumn("head", F.xxhash64("raw"))
+    met = words.join(few(heads), "head").select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     met = places_of(base, stored(met, "ranges")).join(few(new.select("instance")), "instance", "left_semi")
-    return stored(clear(met, covered), "places")
+    return clear(met, covered).select("row", "first", "last", "instance", "word", "left", "right")
 
 
 def clear(places: DataFrame, covered: DataFrame) -> DataFrame:
@@ -229,70 +278,104 @@ def clear(places: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def runs(at: DataFrame) -> DataFrame:
-    """row, first, last, lh, rh of runs of 2 to MOST_WORDS words between a left and a right pattern of hits, each with the nearest."""
+    """row, first, last of runs of 2 to MOST_WORDS words between a left and a right pattern of hits, each with the nearest, and lw, rw, their worth."""
     block = lambda c: F.floor(F.col(c) / MOST_WORDS)
-    left = at.where("side = 'L'").select("row", F.col("word").alias("first"), F.col("h").alias("lh")).withColumn("block", F.explode(F.array(block("first"), block("first") + 1)))
-    right = at.where("side = 'R'").select("row", F.col("word").alias("last"), F.col("h").alias("rh")).withColumn("block", block("last"))
+    left = at.where("side = 'L'").select("row", F.col("word").alias("first"), F.col("worth").alias("lw")).withColumn("block", F.explode(F.array(block("first"), block("first") + 1)))
+    right = at.where("side = 'R'").select("row", F.col("word").alias("last"), F.col("worth").alias("rw")).withColumn("block", block("last"))
     both = left.join(right, ["row", "block"]).where(F.col("last").between(F.col("first"), F.col("first") + MOST_WORDS - 1))
-    near = both.groupBy("row", "first", "lh").agg(F.min(F.struct("last", "rh")).alias("x")).select("row", "first", "lh", "x.*")
-    near = near.groupBy("row", "last", "rh").agg(F.max(F.struct("first", "lh")).alias("x")).select("row", "last", "rh", "x.*")
+    near = both.groupBy("row", "first", "lw").agg(F.min(F.struct("last", "rw")).alias("x")).select("row", "first", "lw", "x.*")
+    near = near.groupBy("row", "last", "rw").agg(F.max(F.struct("first", "lw")).alias("x")).select("row", "last", "rw", "x.*")
     return near.where("last > first")
 
 
-def noisy_or(confidence: str = "confidence") -> Column:
-    return 1 - F.exp(F.sum(F.log1p(-F.least(confidence, F.lit(1 - 1e-9)))))
+def scored(edges: DataFrame, patterns: DataFrame) -> DataFrame:
+    """token, form (the best confidence among its forms) and score (noisy-or of that and of its contexts' confidences)."""
+    form, sure = F.col("side") == "F", F.least("confidence", F.lit(1 - 1e-9))
+    best = F.coalesce(F.max(F.when(form, sure)), F.lit(0.0))
+    rest = F.coalesce(F.sum(F.when(~form, F.log1p(-sure))), F.lit(0.0))
+    met = edges.join(patterns, ["side", "h"], "left").groupBy("token")
+    return met.agg(best.alias("form"), (1 - (1 - best) * F.exp(rest)).alias("score"))
 
 
-def confidences(edges: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
-    """side, h, confidence from edges (distinct side, h, token of words that are no seeds) and seeds (side, h, seeds)."""
+def confidences(edges: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """side, h, confidence, and token, form, score from edges (distinct side, h, token of words that are no seeds) and seeds (side, h, seeds)."""
     mean = (F.col("seeds") + F.coalesce("sum", F.lit(0.0))) / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
     scores = edges.select("token").distinct().select("token", F.lit(0.0).alias("score"))
-    for _ in range(rounds):
-        sums = edges.join(scores, "token").groupBy("side", "h").agg(F.sum("score").alias("sum"), F.count("*").alias("others"))
-        patterns = stored(seeds.join(sums, ["side", "h"], "left").select("side", "h", mean.alias("confidence"), "seeds").where(F.col("confidence") >= LEAST_CONFIDENCE), "patterns")
-        scores = stored(edges.join(patterns, ["side", "h"], "left").groupBy("token").agg(F.coalesce(noisy_or(), F.lit(0.0)).alias("score")), "scores")
-    return patterns
+    for k in range(rounds):
+        sums = edges.join(scores.select("token", "score"), "token").groupBy("side", "h").agg(F.sum("score").alias("sum"), F.count("*").alias("others"))
+        patterns = seeds.join(sums, ["side", "h"], "left").select("side", "h", mean.alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE)
+        patterns = stored(patterns, "patterns") if k == rounds - 1 else patterns
+        scores = stored(scored(edges, patterns), "scores")
+    return patterns, scores
 
 
 def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, passes: int = PASSES) -> DataFrame | None:
     """row, first, last of new identifiers in base (row, text, seeds), by numbers of words; None if there are none."""
     seeds = base.select("row", F.inline("seeds"))
     spans = stored(covering(seeds), "covered")
-    known, covered, found, seen = stored(patterns_of(seeds), "known"), spans, None, 0
+    known, covered, found, weak, at = stored(patterns_of(seeds), "known"), spans, None, None, None
+    if known.isEmpty():
+        return None
+    shapes = stored(vocabulary(base), "vocabulary")
     for _ in range(passes):
         active = stored(known.groupBy("side", "h").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds), "active")
-        if active.isEmpty():
-            break
-        # Patterns that their words leave below the least confidence go before any place is written.
-        others = hits(base, active, covered).select("side", "h", "token").distinct().groupBy("side", "h").agg(F.count("*").alias("others"))
         bound = F.col("seeds") / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
-        strong = stored(active.join(others, ["side", "h"], "left").where(bound >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "strong")
-        if strong.isEmpty():
+        # Contexts that their words leave far below the least confidence go before any place is written, by an estimate that later passes reuse.
+        contexts = active.where("side <> 'F'")
+        fresh = stored((contexts if weak is None else contexts.join(weak, ["side", "h"], "left_anti")).select("side", "h"), "fresh")
+        if not fresh.isEmpty():
+            some = stored(hits(base, fresh).groupBy("side", "h").agg(F.approx_count_distinct("token").alias("words")), "words")
+            weak = some if weak is None else stored(weak.unionByName(some), "words")
+        strong = contexts.limit(0)
+        if weak is not None:
+            others = weak.select("side", "h", F.greatest(F.lit(0), F.col("words") / SLACK).alias("others"))
+            strong = stored(contexts.join(others, ["side", "h"], "left").withColumn("others", F.greatest(F.lit(0.0), F.col("others") - F.col("seeds"))).where(bound >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "strong")
+        # Forms: the vocabulary is counted exactly.
+        others = shapes.join(known.select(F.col("instance").alias("token")).distinct(), "token", "left_anti").withColumn("side", F.lit("F"))
+        others = others.join(active.where("side = 'F'").select("side", "h"), ["side", "h"])
+        inner = stored(active.where("side = 'F'").join(others.groupBy("side", "h").agg(F.count("*").alias("others")), ["side", "h"], "left").where(bound >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "forms")
+        edges = others.join(inner.select("side", "h"), ["side", "h"]).select("side", "h", "token")
+        more = strong if at is None else strong.join(at.select("side", "h").distinct(), ["side", "h"], "left_anti")
+        if not more.isEmpty():
+            more = hits(base, stored(more.select("side", "h"), "more"))
+            at = stored(more if at is None else at.unionByName(more), "hits")
+        if at is not None:
+            at = stored(at.join(covered, ["row", "word"], "left_anti"), "hits")
+            edges = edges.unionByName(at.select("side", "h", "token").distinct())
+        edges = stored(edges, "edges")
+        if edges.isEmpty():
             break
-        at = stored(hits(base, strong, covered), "hits")
-        patterns = confidences(stored(at.select("side", "h", "token").distinct(), "edges"), strong, rounds)
-        at = stored(at.join(patterns.select("side", "h", "confidence"), ["side", "h"]), "hits")
-        # Runs first, then words outside of them.
-        sure = lambda side, h: patterns.select(F.col("h").alias(h), F.col("confidence").alias(f"c{h}")).where(F.col("side") == side)
-        long = clear(runs(at), covered).join(sure("L", "lh"), "lh").join(sure("R", "rh"), "rh").where(1 - (1 - F.col("clh")) * (1 - F.col("crh")) >= least_score)
-        long = stored(long.select("row", "first", "last"), "runs")
-        short = at.join(covering(long), ["row", "word"], "left_anti")
-        good = short.select("token", "side", "h", "confidence").distinct().groupBy("token").agg(noisy_or().alias("score")).where(F.col("score") >= least_score)
-        short = short.join(good, "token", "left_semi").select("row", F.col("word").alias("first"), F.col("word").alias("last")).distinct()
-        inside = stored(places_of(base, stored(long.union(short), "candidates")), "inside")
-        new = stored(inside.groupBy("instance").agg(F.first("head").alias("head"), F.first(F.col("last") - F.col("first") + 1).alias("n"), F.first("digits").alias("digits"), F.count_distinct(F.struct("left", "right")).alias("inside")), "new")
-        if new.isEmpty():
+        patterns, scores = confidences(edges, strong.unionByName(inner), rounds)
+        good = stored(scores.where(F.col("score") >= least_score), "good")
+        places = None
+        if at is not None:
+            # Runs first, then words outside of them.
+            sure = at.join(patterns.withColumnRenamed("confidence", "worth"), ["side", "h"])
+            long = stored(clear(runs(sure).where(1 - (1 - F.col("lw")) * (1 - F.col("rw")) >= least_score), covered).select("row", "first", "last"), "runs")
+            if not long.isEmpty():
+                places = stored(long_instances(base, long, covered), "runs")
+        if not good.isEmpty():
+            taken = covered if places is None else stored(covered.union(covering(places)).distinct(), "covered")
+            tokens = base.select("row", F.posexplode(split_words(F.col("text"))).alias("word", "raw")).withColumn("token", F.xxhash64("raw"))
+            every = stored(tokens.join(few(good.select("token", "form")), "token").join(taken, ["row", "word"], "left_anti").select("row", "word", "token", "form"), "places")
+            every = every.join(places_of(base, every.select("row", F.col("word").alias("first"), F.col("word").alias("last"))).select("row", F.col("first").alias("word"), F.col("word").alias("raw"), "left", "right"), ["row", "word"])
+            every = stored(every, "places")
+            # A word with few digits that no form speaks for must stand in such contexts often enough.
+            inside = patterns.where("side <> 'F'").select("side", "h")
+            seen = every.where(F.col("form") < least_score).where(F.length(digits(F.col("raw"))) < 3).select("token", "left", "right").distinct()
+            met = seen.select("token", "left", "right", F.inline(contexts_of())).join(inside, ["side", "h"]).select("token", "left", "right").distinct()
+            counts = seen.groupBy("token").agg(F.count("*").alias("all")).join(met.groupBy("token").agg(F.count("*").alias("met")), "token", "left")
+            rare = stored(counts.where(F.coalesce("met", F.lit(0)) < LEAST_SHARE * F.col("all")).select("token"), "rare")
+            short = every.join(rare, "token", "left_anti").select("row", F.col("word").alias("first"), F.col("word").alias("last"), F.col("token").alias("instance"), F.col("raw").alias("word"), "left", "right")
+            places = short if places is None else places.unionByName(short)
+        if places is None:
             break
-        every = occurrences(base, new, covered)
-        share = every.groupBy("instance").agg(F.count_distinct(F.struct("left", "right")).alias("all")).join(new, "instance").where((F.col("digits") >= 3) | (F.col("inside") >= LEAST_SHARE * F.col("all")))
-        fresh = every.join(share.select("instance"), "instance", "left_semi").select("row", "first", "last", "instance", "left", "right")
-        found = stored(fresh if found is None else found.unionByName(fresh), "found")
-        known = stored(known.union(patterns_of(found)).distinct(), "known")
-        covered = stored(spans.union(covering(found)).distinct(), "covered")
-        count = found.count()
-        if count == seen:
+        places = stored(places, "found")
+        if places.isEmpty():
             break
-        seen = count
+        found = places.select("row", "first", "last") if found is None else stored(found.unionByName(places.select("row", "first", "last")), "found")
+        known = stored(known.union(patterns_of(places)).distinct(), "known")
+        covered = stored(covered.union(covering(places)).distinct(), "covered")
     return found
 
 
@@ -320,11 +403,11 @@ def spelled(spans: Column) -> Column:
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans and n_id (the spans that the method adds)."""
+    """key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_id (the spans that the method adds) and n_spans (all)."""
     found = find(docs, key, text)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != ID)
-    return found.select(key, *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), count(ID).alias("n_id"))
+    return found.select(key, *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), count(ID).alias("n_id"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
