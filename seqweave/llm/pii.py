@@ -8,13 +8,14 @@ at most 255; card numbers of 13 to 19 digits with a right Luhn sum; phone number
 
 Contextual extraction.  Words are runs between blanks.  The instance of a base span is the words it touches, whole.  Its lexical patterns
 are its contexts (the two words before and the two after it in the full text, whatever they are, in lower case with digits as 0) and, if it is one
-word of SHORT characters or more, its forms: its first four characters, its shape, and from 16 characters on which kinds of characters it has.
+word of SHORT characters or more, its head (its first four characters, if unlike an ordinary word's) and, with a digit in it, its forms: its shape, and from 16 characters on which kinds
+of characters it has.
 Base instances are seeds.  A pattern with LEAST_SEEDS distinct seeds or more makes a candidate of any word that has it, and two contexts make one of any
 run of 2 to MOST_WORDS words between them (the nearest right one for each left one, and the reverse).
 
 Rounds over the pattern-instance graph: a pattern's confidence is the mean score of the distinct seeds and words that have it, times 1 - 1 / (1 + its
-seeds); a candidate's score is the noisy-or of its best form and its contexts.  Patterns under LEAST_CONFIDENCE do not count, as many weak ones would
-add up for every common word.  So a form such as "16 characters or more, letters and digits" speaks for an identifier only if a good part of the corpus's
+seeds); a candidate's score is the noisy-or of its best form, its head and its contexts.  Patterns under LEAST_CONFIDENCE do not count, as many weak ones would
+add up for every common word; nor do contexts and heads which, counted by places, other words have most of the time.  So a form such as "16 characters or more, letters and digits" speaks for an identifier only if a good part of the corpus's
 distinct words of that form are known ones; where most are dates, paths or hashes it is dropped.
 
 Candidates that reach LEAST_SCORE are new identifiers, of kind `id`, wherever they stand; one with fewer than 3 digits that no form speaks for
@@ -24,7 +25,7 @@ words in them.  New identifiers are seeds of the next pass over the text, of PAS
 Not found: an identifier of several words with a known context on one side only (its next word alone is), and ordinary words used as names.
 
 At scale: texts are stored once, beside their spans, and read again by each pass; what is shuffled are the distinct words, hashes of patterns and words at
-patterns with enough seeds, as distinct edges, so copies of a passage count once.  Contexts that common words stand in go first, by an estimate of fixed size
+patterns with enough seeds, as distinct edges, so copies of a passage count once.  Contexts and heads that common words have go first, by an estimate of fixed size
 for each.  Texts are shuffled only if more than FEW of them hold new identifiers.
 
 Defined results: null and empty texts have no spans; repeated rows get equal results; spans of one kind never overlap, those of two
@@ -189,29 +190,40 @@ def few(df: DataFrame) -> DataFrame:
 
 
 def forms(word: Column) -> Column:
-    """Hashes of the lexical patterns inside a word of SHORT characters or more: an array, empty for a shorter one.
+    """Hashes of the forms of a word: an array, empty for a word of fewer than SHORT characters or without a digit.
 
-    Its first four characters; its shape (runs of letters of a case and of digits as one sign each) with its length to a power of two;
-    and from 16 characters on, which kinds of characters it has, and whether it has letters and digits at all.
+    Its shape (runs of letters of a case and of digits as one sign each) with its length to a power of two; and from 16 characters on,
+    which kinds of characters it has, and whether it has letters at all.
     """
     size = F.least(F.floor(F.log2(F.length(word))), F.lit(5))
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(word, r"\p{Nd}+", "0"), r"\p{Lu}+", "A"), r"[\p{L}&&[^A]]+", "a")
-    lower, upper, digit = F.contains(shape, F.lit("a")), F.contains(shape, F.lit("A")), F.contains(shape, F.lit("0"))
+    lower, upper = F.contains(shape, F.lit("a")), F.contains(shape, F.lit("A"))
     other = F.length(F.translate(shape, "aA0", "")) > 0
-    long = F.array(F.xxhash64(F.lit("kinds"), lower, upper, digit, other, size), F.xxhash64(F.lit("mixed"), lower | upper, digit))
-    short = F.array(F.xxhash64(F.lit("head"), plain(F.substring(word, 1, 4))), F.xxhash64(F.lit("shape"), shape, size))
-    return F.when(F.length(word) < SHORT, F.array().cast("array<bigint>")).when(size >= 4, F.concat(short, long)).otherwise(short)
+    long = F.array(F.xxhash64(F.lit("kinds"), lower, upper, other, size), F.xxhash64(F.lit("mixed"), lower | upper))
+    short = F.array(F.xxhash64(F.lit("shape"), shape, size))
+    return F.when(~formed(word), F.array().cast("array<bigint>")).when(size >= 4, F.concat(short, long)).otherwise(short)
 
 
-def contexts_of() -> Column:
-    return F.array(F.struct(F.lit("L").alias("side"), F.col("left").alias("h")), F.struct(F.lit("R").alias("side"), F.col("right").alias("h")))
+def formed(word: Column) -> Column:
+    return (F.length(word) >= SHORT) & word.rlike("[0-9]")
+
+
+def head(word: Column) -> Column:
+    """A hash of the first four characters of a word of SHORT characters or more that starts unlike ordinary words, which are letters and of one case from the second on; else null."""
+    start = F.substring(word, 1, 4)
+    return F.when((F.length(word) >= SHORT) & ~start.rlike(r"^\p{L}\p{Ll}{3}"), F.xxhash64(start))
+
+
+def outer() -> Column:
+    """side and h of the patterns outside of a word's form: contexts (L, R) and head (H); h may be null."""
+    return F.array(*[F.struct(F.lit(s).alias("side"), h.alias("h")) for s, h in (("L", F.col("left")), ("R", F.col("right")), ("H", head(F.col("word"))))])
 
 
 def patterns_of(places: DataFrame) -> DataFrame:
-    """Distinct instance, side (L, R: contexts; F: a form), h of places with instance, left, right and, of single words, word."""
-    contexts = places.select("instance", F.inline(contexts_of())).where("h is not null")
+    """Distinct instance, side (as in outer(); F: a form), h and n (places) of places with instance, left, right and, of single words, word."""
+    contexts = places.select("instance", F.inline(outer())).where("h is not null")
     inner = places.where("word is not null").select("instance", "word").distinct().select("instance", F.lit("F").alias("side"), F.explode(forms(F.col("word"))).alias("h"))
-    return contexts.unionByName(inner).distinct()
+    return contexts.unionByName(inner).groupBy("instance", "side", "h").agg(F.count("*").alias("n"))
 
 
 def covering(places: DataFrame) -> DataFrame:
@@ -237,16 +249,16 @@ def placed(base: DataFrame) -> DataFrame:
 
 
 def hits(base: DataFrame, patterns: DataFrame) -> DataFrame:
-    """row, word (its number), token (its hash), side and h where a word stands in one of the contexts (a stored table: side, h)."""
+    """row, word (its number), token (its hash), side and h where a word has one of the patterns (a stored table: side L, R or H, and h)."""
     of = lambda s, name: few(patterns.where(F.col("side") == s).select(F.col("h").alias(name), F.lit(True).alias(f"in_{name}")))
-    met = placed(base).join(of("L", "left"), "left", "left").join(of("R", "right"), "right", "left").where("in_left or in_right")
-    sides = F.array(F.struct(F.lit("L").alias("side"), F.when(F.col("in_left"), F.col("left")).alias("h")), F.struct(F.lit("R").alias("side"), F.when(F.col("in_right"), F.col("right")).alias("h")))
-    return met.select("row", F.col("at").alias("word"), F.xxhash64("raw").alias("token"), F.inline(sides)).where("h is not null")
+    met = placed(base).withColumn("head", head(F.col("raw"))).join(of("L", "left"), "left", "left").join(of("R", "right"), "right", "left").join(of("H", "head"), "head", "left")
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.when(F.col(f"in_{n}"), F.col(n)).alias("h")) for s, n in (("L", "left"), ("R", "right"), ("H", "head"))])
+    return met.where("in_left or in_right or in_head").select("row", F.col("at").alias("word"), F.xxhash64("raw").alias("token"), F.inline(F.filter(sides, lambda x: x["h"].isNotNull())))
 
 
 def vocabulary(base: DataFrame) -> DataFrame:
-    """token and h of every distinct word of SHORT characters or more and each of its forms."""
-    words = base.select(F.explode(F.array_distinct(split_words(F.col("text")))).alias("raw")).where(F.length("raw") >= SHORT).distinct()
+    """token and h of every distinct word that has forms and each of them."""
+    words = base.select(F.explode(split_words(F.col("text"))).alias("raw")).where(formed(F.col("raw"))).distinct()
     return words.select(F.xxhash64("raw").alias("token"), F.explode(forms(F.col("raw"))).alias("h"))
 
 
@@ -266,7 +278,7 @@ def long_instances(base: DataFrame, ranges: DataFrame, covered: DataFrame) -> Da
     heads = stored(new.select("head", "n").distinct(), "heads")
     words = base.select("row", F.posexplode(split_words(F.col("text"))).alias("first", "raw")).withColumn("head", F.xxhash64("raw"))
     met = words.join(few(heads), "head").select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    met = places_of(base, stored(met, "ranges")).join(few(new.select("instance")), "instance", "left_semi")
+    met = stored(places_of(base, stored(met, "ranges")).join(few(new.select("instance")), "instance", "left_semi"), "places")
     return clear(met, covered).select("row", "first", "last", "instance", "word", "left", "right")
 
 
@@ -309,62 +321,83 @@ def confidences(edges: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFr
     return patterns, scores
 
 
+def bound() -> Column:
+    """The confidence of a pattern with `seeds` seeds and `others` other words, none of which is an identifier."""
+    return F.col("seeds") / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
+
+
+def counted(base: DataFrame, patterns: DataFrame) -> DataFrame:
+    """side, h, words (an estimate of the distinct words that have the pattern) and places."""
+    return hits(base, patterns).groupBy("side", "h").agg(F.approx_count_distinct("token").alias("words"), F.count("*").alias("places"))
+
+
+def able(active: DataFrame, met: DataFrame) -> DataFrame:
+    """The active patterns that, by what is counted in met, can reach the least confidence by distinct words and by places."""
+    others = F.greatest(F.lit(0.0), F.coalesce(F.col("words") / SLACK, F.lit(0.0)) - F.col("seeds"))
+    both = active.join(met, ["side", "h"]).withColumn("others", others)
+    return both.where(bound() >= LEAST_CONFIDENCE).where(F.col("n") >= LEAST_CONFIDENCE * F.col("places"))
+
+
 def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, passes: int = PASSES) -> DataFrame | None:
     """row, first, last of new identifiers in base (row, text, seeds), by numbers of words; None if there are none."""
     seeds = base.select("row", F.inline("seeds"))
     spans = stored(covering(seeds), "covered")
-    known, covered, found, weak, at = stored(patterns_of(seeds), "known"), spans, None, None, None
+    known, covered, found, met, at = stored(patterns_of(seeds), "known"), spans, None, None, None
     if known.isEmpty():
         return None
     shapes = stored(vocabulary(base), "vocabulary")
     for _ in range(passes):
-        active = stored(known.groupBy("side", "h").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds), "active")
-        bound = F.col("seeds") / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
-        # Contexts that their words leave far below the least confidence go before any place is written, by an estimate that later passes reuse.
-        contexts = active.where("side <> 'F'")
-        fresh = stored((contexts if weak is None else contexts.join(weak, ["side", "h"], "left_anti")).select("side", "h"), "fresh")
+        active = stored(known.groupBy("side", "h").agg(F.count("*").alias("seeds"), F.sum("n").alias("n")).where(F.col("seeds") >= least_seeds), "active")
+        # Outer patterns that many other words have, or that other words have most of the time, go before any place is written; later passes reuse the counts.
+        outside = active.where("side <> 'F'")
+        fresh = stored((outside if met is None else outside.join(met, ["side", "h"], "left_anti")).select("side", "h"), "fresh")
         if not fresh.isEmpty():
-            some = stored(hits(base, fresh).groupBy("side", "h").agg(F.approx_count_distinct("token").alias("words")), "words")
-            weak = some if weak is None else stored(weak.unionByName(some), "words")
-        strong = contexts.limit(0)
-        if weak is not None:
-            others = weak.select("side", "h", F.greatest(F.lit(0), F.col("words") / SLACK).alias("others"))
-            strong = stored(contexts.join(others, ["side", "h"], "left").withColumn("others", F.greatest(F.lit(0.0), F.col("others") - F.col("seeds"))).where(bound >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "strong")
+            # The documents with seeds alone bound the counts from below, and leave few patterns to look for everywhere.
+            some = stored(counted(base.where(F.size("seeds") > 0), fresh), "words")
+            likely = stored(able(outside, some).select("side", "h"), "likely")
+            some = some.join(likely, ["side", "h"], "left_anti")
+            some = stored(some if likely.isEmpty() else some.unionByName(counted(base, likely)), "words")
+            met = some if met is None else stored(met.unionByName(some), "words")
+        strong = outside.limit(0) if met is None else able(outside, met)
+        strong = stored(strong.select("side", "h", "seeds"), "strong")
         # Forms: the vocabulary is counted exactly.
         others = shapes.join(known.select(F.col("instance").alias("token")).distinct(), "token", "left_anti").withColumn("side", F.lit("F"))
         others = others.join(active.where("side = 'F'").select("side", "h"), ["side", "h"])
-        inner = stored(active.where("side = 'F'").join(others.groupBy("side", "h").agg(F.count("*").alias("others")), ["side", "h"], "left").where(bound >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "forms")
+        inner = stored(active.where("side = 'F'").join(others.groupBy("side", "h").agg(F.count("*").alias("others")), ["side", "h"], "left").where(bound() >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "forms")
         edges = others.join(inner.select("side", "h"), ["side", "h"]).select("side", "h", "token")
         more = strong if at is None else strong.join(at.select("side", "h").distinct(), ["side", "h"], "left_anti")
         if not more.isEmpty():
             more = hits(base, stored(more.select("side", "h"), "more"))
             at = stored(more if at is None else at.unionByName(more), "hits")
+        now = None
         if at is not None:
-            at = stored(at.join(covered, ["row", "word"], "left_anti"), "hits")
-            edges = edges.unionByName(at.select("side", "h", "token").distinct())
+            now = stored(at.join(strong.select("side", "h"), ["side", "h"]).join(covered, ["row", "word"], "left_anti"), "hits")
+            edges = edges.unionByName(now.select("side", "h", "token").distinct())
         edges = stored(edges, "edges")
         if edges.isEmpty():
             break
         patterns, scores = confidences(edges, strong.unionByName(inner), rounds)
         good = stored(scores.where(F.col("score") >= least_score), "good")
         places = None
-        if at is not None:
+        if now is not None:
             # Runs first, then words outside of them.
-            sure = at.join(patterns.withColumnRenamed("confidence", "worth"), ["side", "h"])
+            sure = now.join(patterns.withColumnRenamed("confidence", "worth"), ["side", "h"])
             long = stored(clear(runs(sure).where(1 - (1 - F.col("lw")) * (1 - F.col("rw")) >= least_score), covered).select("row", "first", "last"), "runs")
             if not long.isEmpty():
                 places = stored(long_instances(base, long, covered), "runs")
         if not good.isEmpty():
             taken = covered if places is None else stored(covered.union(covering(places)).distinct(), "covered")
             tokens = base.select("row", F.posexplode(split_words(F.col("text"))).alias("word", "raw")).withColumn("token", F.xxhash64("raw"))
-            every = stored(tokens.join(few(good.select("token", "form")), "token").join(taken, ["row", "word"], "left_anti").select("row", "word", "token", "form"), "places")
-            every = every.join(places_of(base, every.select("row", F.col("word").alias("first"), F.col("word").alias("last"))).select("row", F.col("first").alias("word"), F.col("word").alias("raw"), "left", "right"), ["row", "word"])
+            # Stored before the next join, which the optimizer would else move below this one, to all words.
+            every = stored(tokens.join(few(good.select("token", "form")), "token").select("row", "word", "token", "form"), "places")
+            every = stored(every.join(taken, ["row", "word"], "left_anti"), "places")
+            every = every.join(places_of(base, every.select("row", F.col("word").alias("first"), F.col("word").alias("last"))).select("row", F.col("first").alias("at"), "word", "left", "right").withColumnsRenamed({"word": "raw", "at": "word"}), ["row", "word"])
             every = stored(every, "places")
-            # A word with few digits that no form speaks for must stand in such contexts often enough.
+            # A word with few digits that no form speaks for must stand in such patterns often enough.
             inside = patterns.where("side <> 'F'").select("side", "h")
-            seen = every.where(F.col("form") < least_score).where(F.length(digits(F.col("raw"))) < 3).select("token", "left", "right").distinct()
-            met = seen.select("token", "left", "right", F.inline(contexts_of())).join(inside, ["side", "h"]).select("token", "left", "right").distinct()
-            counts = seen.groupBy("token").agg(F.count("*").alias("all")).join(met.groupBy("token").agg(F.count("*").alias("met")), "token", "left")
+            seen = every.where(F.col("form") < least_score).where(F.length(digits(F.col("raw"))) < 3).select("token", F.col("raw").alias("word"), "left", "right").distinct()
+            met_by = seen.select("token", "left", "right", F.inline(outer())).join(inside, ["side", "h"]).select("token", "left", "right").distinct()
+            counts = seen.groupBy("token").agg(F.count("*").alias("all")).join(met_by.groupBy("token").agg(F.count("*").alias("met")), "token", "left")
             rare = stored(counts.where(F.coalesce("met", F.lit(0)) < LEAST_SHARE * F.col("all")).select("token"), "rare")
             short = every.join(rare, "token", "left_anti").select("row", F.col("word").alias("first"), F.col("word").alias("last"), F.col("token").alias("instance"), F.col("raw").alias("word"), "left", "right")
             places = short if places is None else places.unionByName(short)
@@ -374,7 +407,7 @@ def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
         if places.isEmpty():
             break
         found = places.select("row", "first", "last") if found is None else stored(found.unionByName(places.select("row", "first", "last")), "found")
-        known = stored(known.union(patterns_of(places)).distinct(), "known")
+        known = stored(known.unionByName(patterns_of(places)).groupBy("instance", "side", "h").agg(F.sum("n").alias("n")), "known")
         covered = stored(covered.union(covering(places)).distinct(), "covered")
     return found
 
