@@ -1,12 +1,15 @@
 """Monoids: an aggregate, the merge of two of its results, and an identity.
 
 `ordered` monoids are associative but not commutative; they are for scans and segments, where rows have an order.
+
+One rule holds for folds, scans and segments: a fold starts at the identity, so what it gives is merged with it.  The identity of MAX is 0,
+for sequences of natural numbers; `starting_at` gives another one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,9 +26,18 @@ class Monoid:
     def unit(self) -> Column:
         return F.lit(self.identity)
 
+    def started(self, fold: Column) -> Column:
+        """A fold, null if of nothing, merged with the identity."""
+        if self.identity is None:
+            return fold
+        return F.when(fold.isNull(), self.unit()).otherwise(self.merge(self.unit(), fold))
+
     def total(self, value: Column) -> Column:
         """The fold of an aggregate's rows; the identity for none."""
-        return F.coalesce(self.aggregate(value), self.unit())
+        return self.started(self.aggregate(value))
+
+    def starting_at(self, identity: object) -> Monoid:
+        return replace(self, identity=identity)
 
 
 SUM = Monoid("sum", 0, F.sum, lambda a, b: a + b)

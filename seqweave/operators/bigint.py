@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.monoids import LAST
+from ..functions.names import chunk_of
 from ..functions.scalars import WORD, wide, wrap
 from ..plans.ship import ship_package
 from ..plans.storage import stored
@@ -132,8 +133,8 @@ def multiply(a: DataFrame, b: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return from_int(spark, 0)
     size = n_a + n_b + 1
     digits_a, digits_b = digits(negate(a) if neg_a else a), digits(negate(b) if neg_b else b)
-    blocks_a = digits_a.groupBy(F.floor(F.col("pos") / DIGITS).alias("i")).agg(F.collect_list(F.struct("pos", "digit")).alias("a"))
-    blocks_b = digits_b.groupBy(F.floor(F.col("pos") / DIGITS).alias("j")).agg(F.collect_list(F.struct("pos", "digit")).alias("b"))
+    blocks_a = digits_a.groupBy(chunk_of("pos", DIGITS).alias("i")).agg(F.collect_list(F.struct("pos", "digit")).alias("a"))
+    blocks_b = digits_b.groupBy(chunk_of("pos", DIGITS).alias("j")).agg(F.collect_list(F.struct("pos", "digit")).alias("b"))
     n_i, n_j = -(-4 * (n_a + 1) // DIGITS), -(-4 * (n_b + 1) // DIGITS)
     spread_a = blocks_a.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_j - 1))))
     spread_b = blocks_b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1))))
@@ -175,7 +176,7 @@ def resolved(sums: DataFrame, size: int, chunk: int = CHUNK) -> DataFrame:
         digit = F.expr(f"shiftright(digit, {16 * k}) & 65535")
         placed = sums.select((F.col("pos") + k).alias("at"), digit.alias("digit"))
         weight = F.element_at(F.array(*[literal(1 << (16 * r)) for r in range(4)]), (F.col("at") % 4 + 1).cast("int"))
-        packed = placed.groupBy(F.floor(F.col("at") / 4).alias("pos")).agg(F.sum(F.col("digit") * weight).cast("decimal(20,0)").alias("limb"))
+        packed = placed.groupBy(chunk_of("at", 4).alias("pos")).agg(F.sum(F.col("digit") * weight).cast("decimal(20,0)").alias("limb"))
         filled = spark.range(size).select(F.col("id").alias("pos")).join(packed, "pos", "left").select("pos", F.coalesce("limb", literal(0).cast("decimal(20,0)")).alias("limb"))
         total = filled if total is None else add(total, filled, chunk=chunk)
     return total

@@ -1,6 +1,6 @@
 """Graph algorithms over edge tables (src, dst, weight): one table of longs, no adjacency lists in memory.
 
-Iterations write their state to the shared folder each round, which cuts the lineage and survives lost executors; what is
+Iterations write what a round changes to the shared folder, which cuts the lineage and survives lost executors; what is
 joined each round is the frontier or the changed vertices.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.monoids import SUM, Monoid
@@ -55,7 +55,7 @@ def degree_scan(edges: DataFrame, n: int | None = None, chunk: int = CHUNK) -> D
 def reduce_over_edges(edges: DataFrame, f: Callable[[Column, Column], Column], monoid: Monoid = SUM, n: int | None = None) -> DataFrame:
     """v and value: the fold of f(dst, weight) over its out-edges; the identity without."""
     folded = edges.select(F.col("src").alias("v"), f(F.col("dst"), F.col("weight")).alias("x")).groupBy("v").agg(monoid.aggregate(F.col("x")).alias("x"))
-    return vertices(edges, n).join(folded, "v", "left").select("v", F.coalesce("x", monoid.unit()).alias("value"))
+    return vertices(edges, n).join(folded, "v", "left").select("v", monoid.started(F.col("x")).alias("value"))
 
 
 def merge(a: DataFrame, b: DataFrame, n_a: int | None = None) -> DataFrame:
@@ -91,75 +91,139 @@ def graph_stats(edges: DataFrame, n: int | None = None) -> DataFrame:
     return most.select(F.lit(vertex_count(edges) if n is None else n).cast("long").alias("vertices"), "edges", "max_degree")
 
 
+class Log:
+    """A table that grows by few rows a round: parts are merged WIDTH at a time, so a row is written again a logarithmic number of times and
+    a plan reads a logarithmic number of parts.  `fold` may put rows of a merge together."""
+
+    WIDTH = 8
+
+    def __init__(self, fold: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        self.fold, self.levels = fold, [[]]
+
+    def add(self, part: DataFrame) -> None:
+        self.levels[0].append(part)
+        for k in range(len(self.levels)):
+            if len(self.levels[k]) < self.WIDTH:
+                return
+            if k + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[k + 1].append(stored(self.fold(joined(self.levels[k])), "merged"))
+            self.levels[k] = []
+
+    def rows(self) -> DataFrame:
+        """All rows, versions of one vertex included."""
+        return joined([part for level in self.levels for part in level])
+
+    def table(self) -> DataFrame:
+        return self.fold(self.rows())
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def bfs(edges: DataFrame, start: int, rounds: int = 1 << 20) -> DataFrame:
     """v and level of what can be reached from start."""
     links = stored(edges.select("src", "dst").distinct(), "edges")
-    seen = stored(edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("v"), F.lit(0).alias("level")), "seen")
-    frontier = seen
+    frontier = stored(edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("v"), F.lit(0).alias("level")), "seen")
+    seen = Log()
+    seen.add(frontier)
     for level in range(1, rounds + 1):
-        new = links.join(frontier, F.col("src") == F.col("v"), "left_semi").select(F.col("dst").alias("v")).distinct().join(seen, "v", "left_anti")
+        new = links.join(frontier, F.col("src") == F.col("v"), "left_semi").select(F.col("dst").alias("v")).distinct().join(seen.rows(), "v", "left_anti")
         frontier = stored(new.withColumn("level", F.lit(level)), "frontier")
         if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        if level % 8 == 0:
-            seen = stored(seen, "seen")
-    return seen
+            break
+        seen.add(frontier)
+    return seen.rows()
 
 
 def shortest_paths(edges: DataFrame, start: int, n: int | None = None, active_only: bool = True) -> DataFrame | None:
     """v and distance from start for each vertex of [0, n) (unreached: null); None if a negative cycle can be reached.
 
-    A round relaxes the out-edges of the vertices whose distance has changed (or of all), and takes the least of each destination.
+    A round relaxes the out-edges of the vertices whose distance has changed (or of all reached ones), takes the least offer of each destination, and writes
+    down what is better than before: rows in proportion to the changes.  Vertices remember whom their distance comes from; where weights are negative, these
+    links are followed after 1, 2, 4, 8 ... rounds, and a cycle of them is a negative one.
     """
     n = vertex_count(edges) if n is None else n
     links = stored(edges.select("src", "dst", F.col("weight").alias("w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "edges")
-    best = stored(vertices(edges, n).select("v", F.when(F.col("v") == start, F.lit(0)).cast(links.schema["w"].dataType).alias("d"), (F.col("v") == start).alias("new")), "distances")
-    for _ in range(n + 1):
-        live = best.where("new" if active_only else "d is not null")
-        offers = live.join(links, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("at")).agg(F.min(F.col("d") + F.col("w")).alias("offer"))
-        step = best.join(offers, F.col("v") == F.col("at"), "left")
-        better = F.col("offer").isNotNull() & (F.col("d").isNull() | (F.col("offer") < F.col("d")))
-        best = stored(step.select("v", F.when(better, F.col("offer")).otherwise(F.col("d")).alias("d"), better.alias("new")), "distances")
-        if best.where("new").isEmpty():
-            return best.select("v", F.col("d").alias("distance"))
+    negative = not links.where("w < 0").isEmpty()
+    best = Log(lambda df: df.groupBy("v").agg(F.min(F.struct("d", "parent")).alias("x")).select("v", "x.*"))
+    changed = stored(edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("v"), F.lit(0).cast(links.schema["w"].dataType).alias("d"), F.lit(start).cast("long").alias("parent")), "distances")
+    best.add(changed)
+    for k in range(1, n + 1):
+        live = changed if active_only else best.table()
+        offers = live.select("v", "d").join(links, F.col("v") == F.col("src")).groupBy(F.col("dst").alias("at")).agg(F.min(F.struct((F.col("d") + F.col("w")).alias("d"), F.col("src").alias("parent"))).alias("x"))
+        known = best.rows().select("v", F.col("d").alias("old"))
+        step = offers.join(known, F.col("at") == F.col("v"), "left").groupBy("at", "x").agg(F.min("old").alias("old"))
+        changed = stored(step.where(F.col("old").isNull() | (F.col("x.d") < F.col("old"))).select(F.col("at").alias("v"), F.col("x.d").alias("d"), F.col("x.parent").alias("parent")), "distances")
+        if changed.isEmpty():
+            found = best.table().select(F.col("v").alias("at"), F.col("d").alias("distance"))
+            return vertices(edges, n).join(found, F.col("v") == F.col("at"), "left").select("v", "distance")
+        best.add(changed)
+        if negative and k & (k - 1) == 0 and cyclic(best.table().select("v", "parent"), start):
+            return None
     return None
 
 
+def cyclic(parents: DataFrame, start: int) -> bool:
+    """Whether some vertex does not come to start by its parents; parents of parents are taken as often as the logarithm of their number."""
+    at = stored(parents, "parents")
+    if not at.where((F.col("v") == start) & (F.col("parent") != start)).isEmpty():
+        return True
+    for _ in range(at.count().bit_length()):
+        if at.where(F.col("parent") != start).isEmpty():
+            return False
+        far = at.select(F.col("v").alias("via"), F.col("parent").alias("far"))
+        at = stored(at.join(far, F.col("parent") == F.col("via")).select("v", F.col("far").alias("parent")), "parents")
+    return not at.where(F.col("parent") != start).isEmpty()
+
+
 def dijkstra_frontiers(edges: DataFrame, start: int, n: int | None = None) -> DataFrame:
-    """v, distance and frontier (the number of smaller distances) of what can be reached; weights must be non-negative."""
-    if edges.where("weight < 0").limit(1).count():
-        raise ValueError("a weight is negative")
+    """v, distance and frontier of what can be reached.  There is a frontier for each distance from 0 on, empty ones included, so a vertex's
+    is its distance; weights must be whole numbers from 0 on."""
+    if not edges.where((F.col("weight") < 0) | (F.col("weight") != F.col("weight").cast("long"))).isEmpty():
+        raise ValueError("a weight is negative or no whole number")
     found = shortest_paths(edges, start, n).where("distance is not null")
-    order = found.select("distance").distinct().withColumn("frontier", F.row_number().over(Window.orderBy("distance")) - 1)
-    return found.join(order, "distance").select("v", "distance", "frontier")
+    return found.select("v", "distance", F.col("distance").cast("long").alias("frontier"))
 
 
 def kcore(edges: DataFrame, n: int | None = None) -> DataFrame:
     """v and coreness for each vertex of [0, n); edges count as undirected, once, without loops.
 
     Peeling: at k, vertices of degree at most k leave with coreness k until none is left to leave; k then jumps to the least degree left.
+    Degrees are written once; a round writes the vertices that leave and what their neighbours lose, and looks only at these neighbours.
     """
     n = vertex_count(edges) if n is None else n
     links = stored(symmetrize(edges), "edges")
-    left = stored(links.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree")), "degrees")
-    done = [vertices(edges, n).join(left, "v", "left_anti").select("v", F.lit(0).cast("long").alias("core"))]
-    k = left.agg(F.min("degree")).first()[0]
-    while k is not None:
+    degree = stored(links.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree")), "degrees")
+    if degree.isEmpty():
+        return vertices(edges, n).select("v", F.lit(0).cast("long").alias("core"))
+    changes = Log(lambda df: df.groupBy("v").agg(F.sum("degree").alias("degree")))
+    gone = Log()
+    gone.add(degree.limit(0).select("v", F.lit(0).cast("long").alias("core")))
+    changes.add(degree)
+    k, near = None, None
+    while True:
+        rows = changes.rows() if near is None else changes.rows().join(near, "v", "left_semi")
+        left = rows.groupBy("v").agg(F.sum("degree").alias("degree")).join(gone.rows(), "v", "left_anti")
+        if near is None:
+            left = stored(left, "left")
+            k = left.agg(F.min("degree")).first()[0]
+            if k is None:
+                break
         leaving = stored(left.where(F.col("degree") <= k).select("v", F.lit(k).cast("long").alias("core")), "leaving")
         if leaving.isEmpty():
-            k = left.agg(F.min("degree")).first()[0]
+            near = None
             continue
-        done.append(leaving)
-        lost = links.join(leaving, F.col("src") == leaving["v"], "left_semi").groupBy(F.col("dst").alias("at")).agg(F.count("*").alias("lost"))
-        kept = left.join(leaving, "v", "left_anti")
-        left = stored(kept.join(lost, F.col("v") == F.col("at"), "left").select("v", (F.col("degree") - F.coalesce("lost", F.lit(0))).alias("degree")), "degrees")
-        if left.isEmpty():
-            break
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        gone.add(leaving)
+        lost = links.join(leaving, F.col("src") == leaving["v"], "left_semi").groupBy(F.col("dst").alias("v")).agg((-F.count("*")).alias("degree"))
+        lost = stored(lost.join(gone.rows(), "v", "left_anti"), "lost")
+        changes.add(lost)
+        near = lost.select("v")
+    return vertices(edges, n).join(gone.rows().withColumnRenamed("v", "at"), F.col("v") == F.col("at"), "left").select("v", F.coalesce("core", F.lit(0)).alias("core"))
 
 
 def pagerank(matrix: DataFrame, n: int, iterations: int = 10, damping: float = 0.85, store_each: int = 3) -> DataFrame:

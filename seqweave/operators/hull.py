@@ -44,6 +44,24 @@ def chain(idx: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+BINS = 4096
+
+
+def outer(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The places of points that may be on the upper hull: none below the hull of the highest points of BINS strips of x."""
+    low, high = x.min(initial=np.inf), x.max(initial=-np.inf)
+    if len(x) <= 4 * BINS or not low < high:
+        return np.arange(len(x))
+    strip = np.minimum(((x - low) * (BINS / (high - low))).astype(np.int64), BINS - 1)
+    order = np.lexsort((y, strip))
+    tops = order[np.flatnonzero(np.diff(np.append(strip[order], BINS)))]
+    tops = np.concatenate([tops, np.flatnonzero((x == low) | (x == high))])
+    hull = tops[chain(np.arange(len(tops)), x[tops], y[tops])]
+    line = np.interp(x, x[hull], y[hull])
+    slack = 1e-9 * (np.abs(y).max() + 1)
+    return np.flatnonzero((y >= line - slack) | (x == low) | (x == high))
+
+
 def local_hulls(points: DataFrame) -> DataFrame:
     ship_package(points.sparkSession)
 
@@ -52,6 +70,7 @@ def local_hulls(points: DataFrame) -> DataFrame:
         for batch in batches:
             t = pa.Table.from_batches([batch])
             held = t if held is None else pa.concat_tables([held, t])
+            held = held.take(pa.array(outer(held["x"].to_numpy(), held["y"].to_numpy())))
             place = chain(*(held[c].to_numpy() for c in ("idx", "x", "y")))
             held = held.take(pa.array(place))
         if held is not None:

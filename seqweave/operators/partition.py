@@ -12,22 +12,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free
 from ..plans.ship import ship_package
 from ..plans.storage import stored
+from .checks import checked
 
 BUCKETS = 4096
 
 
 def partition(df: DataFrame, buckets: int, key: Callable[[Column], Column]) -> DataFrame:
-    """df with a bucket from key(value); null drops the row, another value outside [0, buckets) raises."""
-    at = key(F.col("value"))
-    bad = F.raise_error(F.lit(f"a bucket is outside [0, {buckets})")).cast("long")
-    return df.withColumn("bucket", at.cast("long")).where("bucket is not null").withColumn("bucket", F.when(F.col("bucket").between(0, buckets - 1), F.col("bucket")).otherwise(bad))
+    """df with a bucket from key(value); null drops the row, another value outside [0, buckets) raises, whatever of the result is read."""
+    placed = df.withColumn("bucket", key(F.col("value")).cast("long")).where("bucket is not null")
+    return checked(placed, F.col("bucket").between(0, buckets - 1), f"a bucket is outside [0, {buckets})")
 
 
-def route(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """df with the bucket that the sequence `ids` has at its position."""
-    return df.join(ids.select("pos", F.col("value").cast("long").alias("bucket")), "pos")
+def route(df: DataFrame, ids: DataFrame, buckets: int | None = None) -> DataFrame:
+    """df with the bucket that the sequence `ids` has at its position; with `buckets`, one outside [0, buckets) raises."""
+    met = df.join(ids.select("pos", F.col("value").cast("long").alias("bucket")), "pos")
+    return met if buckets is None else checked(met, F.col("bucket").between(0, buckets - 1), f"a bucket is outside [0, {buckets})")
 
 
 def sort_buckets(df: DataFrame, order: Sequence[Column | str] = ("value", "pos"), out: str = "rank") -> DataFrame:
@@ -52,15 +54,16 @@ def sort_values(df: DataFrame, order: Sequence[Column] | None = None, buckets: i
     Rows are range-partitioned by the order; each gets its place inside its range and the sizes of the ranges before.
     """
     order = [F.col("value").asc_nulls_first()] if order is None else list(order)
+    part_, n_, at_, before_, local_ = free(df, "_part", "_n", "_at", "_before", "_local")
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order, F.col("pos")).withColumn("_part", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *order, F.col("pos")).withColumn(part_, F.spark_partition_id())
     ranged = stored(ranged, "ranges")  # partition ids are fixed by writing them down
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order, "pos")) - 1)
+    sizes = ranged.groupBy(part_).agg(F.count("*").alias(n_))
+    before = Window.orderBy(part_).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(part_).alias(at_), F.coalesce(F.sum(n_).over(before), F.lit(0)).alias(before_))
+    local = ranged.withColumn(local_, F.row_number().over(Window.partitionBy(part_).orderBy(*order, "pos")) - 1)
     rest = [c for c in df.columns if c != "pos"]
-    return local.join(offsets, F.col("_part") == F.col("_at")).select((F.col("_before") + F.col("_local")).alias("pos"), *rest)
+    return local.join(offsets, F.col(part_) == F.col(at_)).select((F.col(before_) + F.col(local_)).alias("pos"), *rest)
 
 
 def kth_smallest(df: DataFrame, k: int, buckets: int = BUCKETS, most: int = 100_000) -> int:
@@ -89,7 +92,8 @@ def kth_smallest(df: DataFrame, k: int, buckets: int = BUCKETS, most: int = 100_
 
 def permutation(df: DataFrame, seed: int = 0) -> DataFrame:
     """A uniform permutation, the same for a seed in every run: positions in the order of their seeded hash."""
-    return sort_values(df.withColumn("_h", F.xxhash64(F.lit(seed), "pos")), [F.col("_h")]).drop("_h")
+    (hash_,) = free(df, "_h")
+    return sort_values(df.withColumn(hash_, F.xxhash64(F.lit(seed), "pos")), [F.col(hash_)]).drop(hash_)
 
 
 def scatter_process_gather(df: DataFrame, assign: Callable[[Column, Column], Column], process: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:

@@ -98,23 +98,27 @@ def find_if(df: DataFrame, found: Map, out: str = "pos") -> DataFrame:
     return df.agg(F.coalesce(F.min(F.when(found(F.col("value")), F.col("pos"))), F.count("*")).alias(out))
 
 
-def cut(df: DataFrame, start: int, end: int) -> DataFrame:
-    """[start, end), positions from 0."""
-    if start > end or start < 0:
+def cut(df: DataFrame, start: int, end: int, n: int | None = None) -> DataFrame:
+    """[start, end), positions from 0; n: the size, if known.  A slice that leaves the sequence is refused."""
+    if start > end or start < 0 or end > (df.count() if n is None else n):
         raise ValueError(f"bad slice [{start}, {end})")
+    return between(df, start, end)
+
+
+def between(df: DataFrame, start: int, end: int) -> DataFrame:
     return df.where((F.col("pos") >= start) & (F.col("pos") < end)).withColumn("pos", F.col("pos") - start)
 
 
 def cut_or_empty(df: DataFrame, start: int, end: int) -> DataFrame:
     """cut, but empty where the slice is empty or leaves the sequence."""
-    if start >= end or end > df.count():
+    if start >= end or start < 0 or end > df.count():
         return df.limit(0)
-    return cut(df, start, end)
+    return between(df, start, end)
 
 
 def cut_chunks(df: DataFrame, first: int, end: int, chunk: int = CHUNK) -> DataFrame:
     """Chunks [first, end), as far as there are."""
-    return cut(df, first * chunk, max(first, end) * chunk)
+    return between(df, first * chunk, max(first, end) * chunk)
 
 
 def prepend_zeros(df: DataFrame, count: int) -> DataFrame:

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.monoids import LAST, MAX, MIN, SUM, XOR
+from ..functions.names import chunk_of
 from ..functions.scalars import area, field_multiply, narrow32
 from ..operators import bigint, graph, graph_build, halo, hull, partition, primes, reduce, rows, scan, suffix, text_search, zips
+from ..sources import graph_files, packed
+from .storage import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +51,7 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").cast("long").alias("src"), F.floor(F.col("o_orderkey") / 10).cast("long").alias("dst"), (1 + F.col("o_orderkey") % 9).cast("long").alias("weight"))
+    return o.select(F.col("o_custkey").cast("long").alias("src"), chunk_of("o_orderkey", 10).alias("dst"), (1 + F.col("o_orderkey") % 9).cast("long").alias("weight"))
 
 
 def seq(sql: str, head: str = EV) -> str:
@@ -96,7 +99,35 @@ def _(spark, sf_dir):
 
 @query("seq_size", seq("SELECT count(*) AS n, CAST(ceil(count(*) / 1000.0) AS BIGINT) AS chunks FROM ev"))
 def _(spark, sf_dir):
-    return ev(spark, sf_dir).agg(F.count("*").alias("n")).select("n", F.ceil(F.col("n") / 1000).alias("chunks"))
+    s = ev(spark, sf_dir)
+    return spark.range(1).select(F.lit(rows.size(s)).cast("long").alias("n"), F.lit(rows.chunk_count(s, 1000)).cast("long").alias("chunks"))
+
+
+# ---- files and lists
+
+
+@query("seq_to_list", seq("SELECT pos, value FROM ev WHERE pos < 1000"))
+def _(spark, sf_dir):
+    return rows.from_values(spark, rows.to_list(rows.cut(ev(spark, sf_dir), 0, 1000)))
+
+
+@query("seq_force", seq("SELECT pos, 3 * value + 1 AS value FROM ev"))
+def _(spark, sf_dir):
+    return rows.force(rows.map_values(ev(spark, sf_dir), lambda v: 3 * v + 1))
+
+
+@query("seq_consolidate", seq("SELECT pos, value - 5000 AS value FROM ev"))
+def _(spark, sf_dir):
+    path = new_path(spark, "packed") + ".bin"
+    packed.consolidate(rows.map_values(ev(spark, sf_dir), lambda v: v - 5000), path)
+    return packed.read_packed(spark, path, block=4096)
+
+
+@query("seq_find_files", "SELECT CAST(n - 1 AS BIGINT) AS pos, printf('part-%06d.bin', n - 1) AS value FROM range(1, 4) AS t(n)")
+def _(spark, sf_dir):
+    folder = new_path(spark, "parts")
+    packed.write_parts(ev(spark, sf_dir), folder, parts=3).count()
+    return rows.from_values(spark, [f.rsplit("/", 1)[1] for f in packed.find_files(spark, f"{folder}/part-*.bin")], "string")
 
 
 # ---- maps
@@ -187,6 +218,26 @@ for _name, _monoid, _sql in (("sum", SUM, "coalesce(sum(value), 0)"), ("max", MA
     query(f"seq_reduce_{_name}_empty", seq(f"SELECT CAST({_sql} AS BIGINT) AS value FROM ev WHERE pos < 0"))(lambda spark, sf_dir, m=_monoid: reduce.reduce_values(ev(spark, sf_dir).where("pos < 0"), m))
 
 
+#: All values are below 0, so that a fold that forgets the identity of MAX shows.
+SIGNED = "ev AS (SELECT event_id AS pos, -1 - abs(CAST(ROUND(value * 100) AS BIGINT)) AS value FROM events)"
+
+
+def signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.map_values(ev(spark, sf_dir), lambda v: -1 - F.abs(v))
+
+
+@query("seq_reduce_max_negative", seq("SELECT CAST(0 AS BIGINT) AS value, max(value) AS least FROM ev", SIGNED))
+def _(spark, sf_dir):
+    s = signed(spark, sf_dir)
+    lowest = MAX.starting_at(-(1 << 63))
+    return s.agg(MAX.total(F.col("value")).alias("value"), lowest.total(F.col("value")).alias("least"))
+
+
+@query("seq_scan_max_negative", seq("SELECT pos, max(value) OVER (ORDER BY pos) AS scan FROM ev", SIGNED))
+def _(spark, sf_dir):
+    return scan.inclusive_scan(signed(spark, sf_dir), MAX.starting_at(-(1 << 63)), chunk=4096).select("pos", "scan")
+
+
 @query("seq_fused_reduce", seq("SELECT CAST(sum(value * 2 + 1) AS BIGINT) AS value FROM ev"))
 def _(spark, sf_dir):
     return reduce.reduce_values(rows.map_values(rows.map_values(ev(spark, sf_dir), lambda v: v * 2), lambda v: v + 1), SUM)
@@ -202,11 +253,21 @@ def _(spark, sf_dir):
     return reduce.histogram(ev(spark, sf_dir), 16, lambda v: F.abs(v) % 10)
 
 
+LONG_SEGMENTS = "s AS (SELECT s_suppkey AS seg, s_suppkey * 7 % 100 AS lo, s_suppkey * 7 % 100 + s_suppkey * 31 % 9000 AS hi FROM supplier)"
+
+
+@query("seq_segmented_long", seq("SELECT seg, CAST(coalesce(sum(value), 0) AS BIGINT) AS value FROM s LEFT JOIN ev ON ev.pos >= s.lo AND ev.pos < s.hi GROUP BY seg", f"{EV}, {LONG_SEGMENTS}"))
+def _(spark, sf_dir):
+    key = F.col("s_suppkey")
+    bounds = table(spark, sf_dir, "supplier").select(key.alias("seg"), (key * 7 % 100).alias("lo"), (key * 7 % 100 + key * 31 % 9000).alias("hi"))
+    return scan.segmented_reduce(ev(spark, sf_dir), bounds)
+
+
 SEGMENTS = "s AS (SELECT o_orderkey AS seg, o_orderkey // 2 AS lo, o_orderkey // 2 + o_orderkey % 4 AS hi FROM orders)"
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key, lo = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 2)
+    key, lo = F.col("o_orderkey"), chunk_of("o_orderkey", 2)
     return table(spark, sf_dir, "orders").select(key.alias("seg"), lo.alias("lo"), (lo + key % 4).alias("hi"))
 
 
@@ -426,9 +487,9 @@ def _(spark, sf_dir):
     return suffix.suffix_array(letters.where(F.col("pos") < n - 1))
 
 
-@query("num_primes", "SELECT row_number() OVER (ORDER BY i) - 1 AS pos, i AS value FROM (SELECT range AS i FROM range(2, 20001)) WHERE NOT EXISTS (SELECT 1 FROM range(2, 142) AS d(k) WHERE k < i AND i % k = 0)")
+@query("num_primes", "SELECT row_number() OVER (ORDER BY i) - 1 AS pos, i AS value FROM (SELECT range AS i FROM range(2, (SELECT 2 * count(*) + 1 FROM events))) WHERE NOT EXISTS (SELECT 1 FROM range(2, (SELECT CAST(ceil(sqrt(2 * count(*))) AS BIGINT) + 1 FROM events)) AS d(k) WHERE k < i AND i % k = 0)")
 def _(spark, sf_dir):
-    return primes.primes(spark, 20_000, block=4096)
+    return primes.primes(spark, 2 * table(spark, sf_dir, "events").count(), block=4096)
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,27 +525,27 @@ def two(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 @query("big_add", limbs_sql(A + B, 5))
 def _(spark, sf_dir):
-    return limbs(rows.cut(bigint.padded(bigint.add(*two(spark)), 3), 0, 5))
+    return limbs(rows.between(bigint.padded(bigint.add(*two(spark)), 3), 0, 5))
 
 
 @query("big_sub", limbs_sql(A - B, 5))
 def _(spark, sf_dir):
-    return limbs(rows.cut(bigint.padded(bigint.subtract(*two(spark)), 3), 0, 5))
+    return limbs(rows.between(bigint.padded(bigint.subtract(*two(spark)), 3), 0, 5))
 
 
 @query("big_mul", limbs_sql(A * B, 9))
 def _(spark, sf_dir):
-    return limbs(rows.cut(bigint.padded(bigint.multiply(*two(spark)), 9), 0, 9))
+    return limbs(rows.between(bigint.padded(bigint.multiply(*two(spark)), 9), 0, 9))
 
 
 @query("big_add_eager", limbs_sql(A + B, 5))
 def _(spark, sf_dir):
-    return limbs(rows.cut(bigint.padded(bigint.add_eager(*two(spark)), 3), 0, 5))
+    return limbs(rows.between(bigint.padded(bigint.add_eager(*two(spark)), 3), 0, 5))
 
 
 @query("big_negate", limbs_sql(-A, 5))
 def _(spark, sf_dir):
-    return limbs(rows.cut(bigint.padded(bigint.negate(bigint.from_int(spark, A)), 3), 0, 5))
+    return limbs(rows.between(bigint.padded(bigint.negate(bigint.from_int(spark, A)), 3), 0, 5))
 
 
 @query("big_complement", limbs_sql(~A, 4))
@@ -492,6 +553,39 @@ def _(spark, sf_dir):
     return limbs(bigint.complement(bigint.from_int(spark, A)))
 
 
+TWO64 = "18446744073709551616::HUGEINT"
+LIMBS = f"""l AS (SELECT event_id AS pos, CASE WHEN event_id % 7 < 3 THEN {TWO64} - 1 - event_id % 2 ELSE (event_id * 1000003 % 1000000007)::HUGEINT * 18000000000 % {TWO64} END AS a,
+CASE WHEN event_id % 7 < 3 THEN event_id % 2 ELSE (event_id * 999983 % 1000000007)::HUGEINT * 17000000000 % {TWO64} END AS b FROM events WHERE event_id < (SELECT count(*) - 1 FROM events))"""
+
+
+def event_limbs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two big integers of a limb for each event but the last, with long chains of carries; their top limbs are small."""
+    n = table(spark, sf_dir, "events").count() - 1
+    at = F.col("id")
+    wide = lambda x, by: (x.cast("decimal(20,0)") * F.lit(by).cast("decimal(15,0)")) % F.lit(str(1 << 64)).cast("decimal(38,0)")
+    limb = lambda chain, other: F.when(at % 7 < 3, chain).otherwise(other).cast("decimal(20,0)").alias("limb")
+    top = F.lit(str((1 << 64) - 1)).cast("decimal(38,0)")
+    a = spark.range(n).select(at.alias("pos"), limb(top - (at % 2).cast("decimal(20,0)"), wide(at * 1000003 % 1000000007, 18000000000)))
+    b = spark.range(n).select(at.alias("pos"), limb((at % 2).cast("decimal(38,0)"), wide(at * 999983 % 1000000007, 17000000000)))
+    zero = lambda x: x.unionByName(spark.range(1).select(F.lit(n).cast("long").alias("pos"), F.lit(0).cast("decimal(20,0)").alias("limb")))
+    return zero(a), zero(b)
+
+
+@query("big_add_events", f"WITH {LIMBS}, s AS (SELECT pos, a + b AS s FROM l UNION ALL SELECT count(*), 0 FROM l), c AS (SELECT pos, s, coalesce(last_value(CASE WHEN s >= {TWO64} THEN 1 WHEN s < {TWO64} - 1 THEN 0 END IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS carry FROM s) SELECT CAST(pos AS BIGINT) AS pos, CAST((s + carry) % {TWO64} AS VARCHAR) AS limb FROM c")
+def _(spark, sf_dir):
+    return limbs(bigint.add(*event_limbs(spark, sf_dir), chunk=1024))
+
+
+WIDE_A, WIDE_B = 3**44000 + 17, -(7**24500) + 5
+
+
+@query("big_mul_blocks", "SELECT CAST(row_number() OVER () - 1 AS BIGINT) AS pos, limb FROM (SELECT unnest([" + ", ".join(f"'{(WIDE_A * WIDE_B >> (64 * k)) & ((1 << 64) - 1)}'" for k in range(2200)) + "]) AS limb)")
+def _(spark, sf_dir):
+    """Operands of more than one block of digits each."""
+    product = bigint.multiply(bigint.from_int(spark, WIDE_A), bigint.from_int(spark, WIDE_B))
+    return limbs(rows.cut_chunks(bigint.padded(product, 100), 0, 1, 2200))
+
+
 # ---- graphs
 
 
@@ -558,19 +652,55 @@ def _(spark, sf_dir):
     return graph_build.grid(spark, 25, 40)
 
 
-@query("g_rmat")
+def _uniform(seed: int, levels: int, edges: int) -> str:
+    """The steps of an R-MAT edge, 16 bits a level."""
+    bits = ", ".join(f"('0x' || substr(md5('{seed}:' || range || ':{k // 8}'), {k % 8 * 4 + 1}, 4))::INT AS x{k}" for k in range(levels))
+    down = " + ".join(f"(CASE WHEN x{k} >= 42598 THEN {1 << (levels - 1 - k)} ELSE 0 END)" for k in range(levels))
+    right = " + ".join(f"(CASE WHEN x{k} >= 32768 AND x{k} < 42598 OR x{k} >= 52429 THEN {1 << (levels - 1 - k)} ELSE 0 END)" for k in range(levels))
+    return f"x AS (SELECT {bits} FROM range({edges})), r AS (SELECT DISTINCT CAST({down} AS BIGINT) AS src, CAST({right} AS BIGINT) AS dst FROM x)"
+
+
+@query("g_rmat", f"WITH {_uniform(5, 10, 8000)} SELECT src, dst FROM r")
 def _(spark, sf_dir):
     return graph_build.rmat(spark, 10, 8000, seed=5)
 
 
-@query("g_rmat_symmetric")
+@query("g_rmat_symmetric", f"WITH {_uniform(5, 10, 4000)} SELECT src, dst FROM r WHERE src <> dst UNION SELECT dst, src FROM r WHERE src <> dst")
 def _(spark, sf_dir):
     return graph_build.rmat_symmetric(spark, 10, 8000, seed=5)
 
 
-@query("g_weights")
+@query("g_weights", f"WITH {EDGES} SELECT src, dst, round(1 + 9 * (('0x' || substr(md5('5:' || least(src, dst) || ':' || greatest(src, dst)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE), 9) AS weight FROM e")
 def _(spark, sf_dir):
-    return graph_build.add_weights(edges(spark, sf_dir).select("src", "dst"), 1, 10, seed=5)
+    return graph_build.add_weights(edges(spark, sf_dir).select("src", "dst"), 1, 10, seed=5).withColumn("weight", F.round("weight", 9))
+
+
+@query("g_read_edges", f"WITH {EDGES} SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM e")
+def _(spark, sf_dir):
+    path = new_path(spark, "lines")
+    edges(spark, sf_dir).select(F.concat_ws("\t", "src", F.concat_ws(" ", "dst", "weight")).alias("value")).write.text(path)
+    return graph_files.read_edges(spark, path)
+
+
+@query("g_read_adjacency", f"WITH {EDGES} SELECT src, dst FROM e")
+def _(spark, sf_dir):
+    path, e = new_path(spark, "adjacency"), edges(spark, sf_dir).select("src", "dst")
+    graph_files.write_adjacency(e, graph.vertex_count(e), path)
+    return graph_files.read_adjacency(spark, path)[1]
+
+
+@query("g_read_differences", f"WITH {EDGES} SELECT src, dst FROM e")
+def _(spark, sf_dir):
+    path, e = new_path(spark, "differences"), edges(spark, sf_dir).select("src", "dst")
+    graph_files.write_differences(e, graph.vertex_count(e), path)
+    return graph_files.read_differences(spark, path)[1]
+
+
+@query("g_read_symmetric", f"WITH {EDGES} SELECT src, dst FROM e WHERE src < dst UNION ALL SELECT dst, src FROM e WHERE src < dst")
+def _(spark, sf_dir):
+    path, e = new_path(spark, "symmetric"), edges(spark, sf_dir).select("src", "dst")
+    graph_files.write_symmetric(e, graph.vertex_count(e), path)
+    return graph_files.read_symmetric(spark, path)[1]
 
 
 @query("g_bfs", f"WITH RECURSIVE {EDGES}, r(v, level) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.v WHERE r.level < 30) SELECT v, min(level) AS level FROM r GROUP BY v")
@@ -591,12 +721,20 @@ def _(spark, sf_dir):
     return graph.shortest_paths(edges(spark, sf_dir), 1, active_only=False)
 
 
-@query("g_dijkstra", f"{SSSP} SELECT v, distance, CAST(dense_rank() OVER (ORDER BY distance) - 1 AS INTEGER) AS frontier FROM best")
+@query("g_dijkstra", f"{SSSP} SELECT v, distance, distance AS frontier FROM best")
 def _(spark, sf_dir):
     return graph.dijkstra_frontiers(edges(spark, sf_dir), 1)
 
 
-@query("g_kcore")
+def _cores(steps: int) -> str:
+    """Bounds of the coreness, from degrees down: the largest h such that h neighbours have a bound of h or more, again and again."""
+    out = [f"WITH {EDGES}, {N}, l AS MATERIALIZED (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), k0 AS MATERIALIZED (SELECT src AS v, count(*) AS core FROM l GROUP BY src)"]
+    for i in range(1, steps + 1):
+        out.append(f"k{i} AS MATERIALIZED (SELECT v, max(least(core, place)) AS core FROM (SELECT l.src AS v, k.core, row_number() OVER (PARTITION BY l.src ORDER BY k.core DESC) AS place FROM l JOIN k{i - 1} AS k ON k.v = l.dst) GROUP BY v)")
+    return ", ".join(out) + f" SELECT CAST(r.range AS BIGINT) AS v, coalesce(core, 0) AS core FROM range((SELECT n FROM n)) AS r LEFT JOIN k{steps} AS k ON k.v = r.range"
+
+
+@query("g_kcore", _cores(40))
 def _(spark, sf_dir):
     return graph.kcore(edges(spark, sf_dir))
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.monoids import MAX
-from ..operators.graph import symmetrize
+from ..operators.checks import checked
+from ..operators.graph import transpose
 from ..operators.partition import sort_values
 from ..operators.scan import exclusive_scan
 from ..plans.storage import stored
@@ -15,10 +16,21 @@ from ..plans.storage import stored
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """src, dst, weight from lines `src dst [weight]`, separated by blanks or tabs; the weight is 1 if left out.  Other lines raise."""
     parts = F.split(F.trim(F.translate("value", "\t", " ")), " +")
-    lines = spark.read.text(path).select(parts.alias("p")).where("p[0] <> ''")
-    good = F.size("p").isin(2, 3)
-    src = F.when(good, F.get("p", F.lit(0))).otherwise(F.raise_error(F.lit("a line is no edge"))).cast("long")
-    return lines.select(src.alias("src"), F.get("p", F.lit(1)).cast("long").alias("dst"), F.coalesce(F.get("p", F.lit(2)), F.lit("1")).cast("double").alias("weight"))
+    lines = checked(spark.read.text(path).select(parts.alias("p")).where("p[0] <> ''"), F.size("p").isin(2, 3), "a line is no edge")
+    return lines.select(F.get("p", F.lit(0)).cast("long").alias("src"), F.get("p", F.lit(1)).cast("long").alias("dst"), F.coalesce(F.get("p", F.lit(2)), F.lit("1")).cast("double").alias("weight"))
+
+
+def head(words: DataFrame, position: int, path: str) -> int:
+    row = words.where(F.col("pos") == position).first()
+    if row is None:
+        raise ValueError(f"{path}: the file has no head")
+    return int(row["value"])
+
+
+def whole(words: DataFrame, expected: int, path: str) -> None:
+    """Refuses a file that has fewer or more words than its head says."""
+    if (count := words.count()) != expected:
+        raise ValueError(f"{path}: {count} words where its head makes it {expected}")
 
 
 def tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +52,8 @@ def tokens(spark: SparkSession, path: str) -> DataFrame:
 def read_adjacency(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
     """n and the edges (src, dst) of a file: a header word, n, m, n offsets, m destinations."""
     words = stored(tokens(spark, path), "tokens")
-    n, m = (int(words.where(F.col("pos") == k).first()["value"]) for k in (1, 2))
+    n, m = (head(words, k, path) for k in (1, 2))
+    whole(words, n + m + 3, path)
     starts = words.where(F.col("pos").between(3, n + 2)).select((F.col("pos") - 3).alias("src"), F.col("value").cast("long").alias("start"))
     return n, owned(words.where(F.col("pos").between(n + 3, n + m + 2)).select((F.col("pos") - n - 3).alias("at"), F.col("value").cast("long").alias("dst")), starts)
 
@@ -55,7 +68,8 @@ def owned(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def read_differences(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
     """n and the edges of a file: n, m, n degrees, then each vertex's destinations as differences (the first as it is)."""
     words = stored(tokens(spark, path), "tokens")
-    n, m = (int(words.where(F.col("pos") == k).first()["value"]) for k in (0, 1))
+    n, m = (head(words, k, path) for k in (0, 1))
+    whole(words, n + m + 2, path)
     degrees = words.where(F.col("pos").between(2, n + 1)).select((F.col("pos") - 2).alias("pos"), F.col("value").cast("long").alias("degree"))
     starts = exclusive_scan(degrees, value="degree", out="start").where("degree > 0").select(F.col("pos").alias("src"), "start")
     steps = words.where(F.col("pos").between(n + 2, n + m + 1)).select((F.col("pos") - n - 2).alias("pos"), F.col("value").cast("long").alias("dst"))
@@ -66,8 +80,26 @@ def read_differences(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
 
 
 def read_symmetric(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """read_differences with each edge in both directions; double edges and loops stay."""
     n, edges = read_differences(spark, path)
-    return n, symmetrize(edges)
+    edges = stored(edges, "edges")
+    return n, edges.unionByName(transpose(edges))
+
+
+def write_adjacency(edges: DataFrame, n: int, path: str) -> None:
+    """The inverse of read_adjacency, one word a line, in files that sort in order."""
+    spark = edges.sparkSession
+    places = sort_values(edges.select("src", "dst").withColumn("pos", F.xxhash64("src", "dst")), [F.col("src"), F.col("dst")])
+    counts = edges.groupBy("src").agg(F.count("*").alias("value"))
+    degrees = spark.range(n).join(counts, F.col("id") == F.col("src"), "left").select(F.col("id").alias("pos"), F.coalesce("value", F.lit(0)).alias("value"))
+    starts = exclusive_scan(degrees).select(F.lit(1).alias("kind"), F.col("pos").alias("at"), F.col("scan").cast("string").alias("value"))
+    body = places.select(F.lit(2).alias("kind"), F.col("pos").alias("at"), F.col("dst").cast("string").alias("value"))
+    top = spark.createDataFrame([(0, 0, "AdjacencyGraph"), (0, 1, str(n)), (0, 2, str(edges.count()))], "kind int, at long, value string")
+    written(top.unionByName(starts).unionByName(body), path)
+
+
+def written(words: DataFrame, path: str) -> None:
+    words.repartitionByRange("kind", "at").sortWithinPartitions("kind", "at").select("value").write.text(path)
 
 
 def write_differences(edges: DataFrame, n: int, path: str) -> None:
@@ -80,9 +112,8 @@ def write_differences(edges: DataFrame, n: int, path: str) -> None:
     steps = plain.withColumn("step", F.col("dst") - F.coalesce(previous, F.lit(0)))
     places = sort_values(steps.withColumn("pos", F.xxhash64("src", "dst")), [F.col("src"), F.col("dst")])
     body = places.select(F.lit(2).alias("kind"), F.col("pos").alias("at"), F.col("step").cast("string").alias("value"))
-    head = spark.createDataFrame([(0, 0, str(n)), (0, 1, str(plain.count()))], "kind int, at long, value string")
-    whole = head.unionByName(degrees).unionByName(body)
-    whole.repartitionByRange("kind", "at").sortWithinPartitions("kind", "at").select("value").write.text(path)
+    top = spark.createDataFrame([(0, 0, str(n)), (0, 1, str(plain.count()))], "kind int, at long, value string")
+    written(top.unionByName(degrees).unionByName(body), path)
 
 
 def write_symmetric(edges: DataFrame, n: int, path: str) -> None:

@@ -102,8 +102,7 @@ def test_distances(spark):
                     heapq.heappush(heap, (d + w, b))
     for active in (True, False):
         assert {r["v"]: r["distance"] for r in graph.shortest_paths(df, 3, active_only=active).collect()} == {v: best.get(v) for v in range(n)}
-    order = {d: k for k, d in enumerate(sorted(set(best.values())))}
-    assert {r["v"]: (r["distance"], r["frontier"]) for r in graph.dijkstra_frontiers(df, 3).collect()} == {v: (d, order[d]) for v, d in best.items()}
+    assert {r["v"]: (r["distance"], r["frontier"]) for r in graph.dijkstra_frontiers(df, 3).collect()} == {v: (d, d) for v, d in best.items()}
     level, front = {3: 0}, [3]
     while front:
         front = sorted({b for a, b, _ in edges if a in front} - level.keys())
@@ -146,7 +145,7 @@ def test_kcore_and_pagerank(spark):
 def test_builders(spark):
     edges = {tuple(r) for r in graph_build.rmat(spark, 5, 200, seed=1).collect()}
     assert edges == {tuple(r) for r in graph_build.rmat(spark, 5, 200, seed=1).collect()} and all(0 <= x < 32 for e in edges for x in e)
-    both = {tuple(r) for r in graph_build.rmat_symmetric(spark, 5, 200, seed=1).collect()}
+    both = {tuple(r) for r in graph_build.rmat_symmetric(spark, 5, 400, seed=1).collect()}  # half as many are drawn
     assert both == {e for a, b in edges if a != b for e in ((a, b), (b, a))}
     weighted = {(r["src"], r["dst"]): r["weight"] for r in graph_build.add_weights(spark.createDataFrame(sorted(both), "src long, dst long"), 2, 3).collect()}
     assert all(weighted[a, b] == weighted[b, a] and 2 <= weighted[a, b] < 3 for a, b in both)

@@ -141,7 +141,7 @@ def test_segments(spark):
     table = spark.createDataFrame([(k, bounds[k], bounds[k + 1]) for k in range(len(lengths))], "seg long, lo long, hi long")
     s = rows.iota(spark, bounds[-1])
     for monoid, fold, unit in ((SUM, sum, 0), (MIN, min, 2**63 - 1), (MAX, max, 0)):
-        got = {r["seg"]: r["value"] for r in scan.segmented_reduce(s, table, monoid, chunk=C).collect()}
+        got = {r["seg"]: r["value"] for r in scan.segmented_reduce(s, table, monoid, radix=C).collect()}
         assert got == {k: fold(range(bounds[k], bounds[k + 1])) if lengths[k] else unit for k in range(len(lengths))}
 
 
