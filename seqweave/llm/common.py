@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.names import quoted
 from ..plans.ship import ship_package
 from ..plans.storage import new_path, shared_dir, stored
 
-__all__ = ["bounded_batches", "ensure_columns", "new_path", "shared_dir", "slices", "spread", "stored", "table", "utf8", "with_columns"]
+__all__ = ["bounded_batches", "ensure_columns", "field", "new_path", "rows_of", "shared_dir", "slices", "spread", "stored", "table", "utf8", "with_columns"]
 
 SLICE_BYTES = 2 << 20
 ARROW_BATCH_BYTES = 4 << 20
@@ -37,6 +39,16 @@ def ensure_columns(df: DataFrame, *names: str) -> None:
             raise ValueError(f"column {name!r} must be there once; there are {df.columns}")
 
 
+def rows_of(docs: DataFrame, **beside: Column) -> DataFrame:
+    """Each row of docs as one struct `doc`, with helper columns beside it: whatever docs calls its own columns, none of them is touched."""
+    return docs.select(F.struct(*[F.col(c) for c in quoted(docs.columns)]).alias("doc"), *[c.alias(n) for n, c in beside.items()])
+
+
+def field(name: str) -> Column:
+    """A column of docs in rows_of(docs)."""
+    return F.col("doc").getField(name)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

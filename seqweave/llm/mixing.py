@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, ensure_columns, slices, stored, utf8, with_columns
+from .common import bounded_batches, ensure_columns, rows_of, slices, stored, utf8, with_columns
 from .words import words
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -133,11 +133,23 @@ def weighted_fair_queue(docs: DataFrame, key: str = "doc_id", source: str = "sou
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST, seed: int = 17) -> DataFrame:
-    """The rows of docs, each as often as the mix reads it; rows equal in key and text are each read as often as the least read of them."""
+    """The rows of docs, each as often as the mix reads it; all columns stay, whatever their names.
+
+    Rows equal in key, source and text are read as often in all as the queue says for them.  The queue passes through such copies one after the other, so
+    it ends inside the copies of at most one key a source and reading; these alone are numbered, by partitions and then inside of them.
+    """
     queue = weighted_fair_queue(docs, key, source, text, weights, most, seed)
-    queue = queue.groupBy(F.col(key).alias("_key"), F.col("tie").alias("_tie")).agg(F.min("readings").alias("_n")).where("_n > 0")
-    met = docs.withColumn("_t", F.xxhash64(text)).join(queue, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")))
-    return met.select(*docs.columns, F.explode(F.sequence(F.lit(1), "_n")).alias("_reading")).drop("_reading")
+    queue = queue.groupBy(F.col(key).alias("of_key"), F.col(source).alias("of_source"), F.col("tie").alias("of_tie"))
+    queue = queue.agg(F.min("readings").alias("least"), F.max("readings").alias("most"), (F.sum("readings") - F.count("*") * F.min("readings")).alias("more")).where("most > 0")
+    rows = rows_of(docs, key=F.col(key), source=F.col(source), tie=F.xxhash64(text))
+    met = rows.join(queue, F.col("key").eqNullSafe(F.col("of_key")) & F.col("source").eqNullSafe(F.col("of_source")) & (F.col("tie") == F.col("of_tie")))
+    turns = lambda df, n: df.select("doc", F.explode(F.sequence(F.lit(1), n)).alias("turn")).select("doc.*")
+    even = turns(met.where("least = most"), F.col("least"))
+    if queue.where("least < most").isEmpty():
+        return even
+    odd = stored(met.where("least < most").withColumns({"part": F.spark_partition_id(), "id": F.monotonically_increasing_id(), "one": F.lit(1)}), "copies")
+    odd = running(odd, ["key", "source", "tie"], "part", [F.col("id")], "one", "number").withColumn("n", F.col("least") + F.when(F.col("number") <= F.col("more"), 1).otherwise(0))
+    return even.unionByName(turns(odd.where("n > 0"), F.col("n")))
 
 
 def finish_time(reading: Column) -> Column:

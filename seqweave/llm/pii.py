@@ -39,7 +39,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, stored
+from .common import ensure_columns, field, rows_of, stored
 
 #: The patterns of the four kinds, written so that they do not backtrack.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -446,16 +446,17 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with each span of its text replaced by [KIND]; of spans that overlap, the first by start (then the longest) counts and what others add goes with it.
 
-    Rows are met with their spans by key and text hash; all columns stay, the text alone changes.  A null text stays null.
+    Rows are met with their spans by key and text hash; all columns stay, whatever their names, and the text alone changes.  A null text stays null.
     """
-    found = find(docs, key, text).where(F.size("spans") > 0).select(F.col(key).alias("_key"), F.col("tie").alias("_tie"), "spans").dropDuplicates(["_key", "_tie"]).withColumnRenamed("spans", "_spans")
-    rows = docs.withColumn("_t", F.xxhash64(text)).join(found, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_tie")), "left")
-    ordered = F.array_sort("_spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    found = find(docs, key, text).where(F.size("spans") > 0).select(F.col(key).alias("of_key"), F.col("tie").alias("of_tie"), "spans").dropDuplicates(["of_key", "of_tie"])
+    rows = rows_of(docs, key=F.col(key), tie=F.xxhash64(text), text=F.col(text))
+    rows = rows.join(found, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("tie") == F.col("of_tie")), "left")
+    ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
-        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
+        F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
     )
-    done = F.aggregate(F.col("_ordered"), start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    rows = rows.withColumn("_ordered", ordered)
-    return rows.withColumn(text, F.when(F.col("_ordered").isNotNull(), done).otherwise(F.col(text))).select(*docs.columns)
+    done = F.aggregate(F.col("ordered"), start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
+    clean = F.when(F.col("ordered").isNotNull(), done).otherwise(F.col("text"))
+    return rows.withColumn("ordered", ordered).select(*[(clean if c == text else field(c)).alias(c) for c in docs.columns])
