@@ -108,3 +108,58 @@ def test_quality_of_repeated_rows(spark):
 def test_classes_beside_clashing_columns(spark):
     out = {r["doc_id"]: r["class_id"] for r in ngram_join.similarity_join(clashing(spark, TEXTS)).collect()}
     assert out == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6}
+
+
+def family(rng, n, base, keep):
+    """n texts that share about the share `keep` of a base's words, in place."""
+    import random
+
+    r = random.Random(rng)
+    return [" ".join(w if r.random() < keep else f"v{r.randrange(10**9)}" for w in base) for _ in range(n)]
+
+
+def test_families_below_the_threshold_fall_apart(spark, monkeypatch):
+    """Texts of a similarity of about 0.6 share bands, but their sets go to no pair of parts; true copies among them stay linked."""
+    monkeypatch.setattr(ngram_join, "PART_SETS", 64)
+    base = [f"b{i}" for i in range(400)]
+    # A window of five words stays with a probability of keep ** 5, and a pair shares it with its square.
+    texts = family(1, 300, base, 0.973)
+    near = [" ".join([*t.split()[:-3], "x", "y", f"z{k}"]) for k, t in enumerate(texts[:20])]
+    docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")
+    shipped = []
+    real = ngram_join.verified
+    monkeypatch.setattr(ngram_join, "verified", lambda members, t: shipped.append(members.count()) or real(members, t))
+    out = {r["doc_id"]: r for r in ngram_join.similarity_join(docs).collect()}
+    from tests.llm.test_corpus_operators import classes, grams, linked
+
+    links = linked([grams(t) for t in texts + near])
+    label = classes(len(texts + near), links)
+    assert {k: (r["class_id"], r["n_links"]) for k, r in out.items()} == {k: (label[k], len(links[k])) for k in range(len(texts + near))}
+    assert sum(map(len, links.values())) >= 40 and shipped[0] <= 320
+
+
+def test_recall_of_many_links(spark):
+    """Links at and above the threshold, of pairs just above it: at least 0.99 of them are found."""
+    from tests.llm.test_corpus_operators import grams, linked
+
+    texts = []
+    for k in range(150):
+        base = [f"g{k}w{i}" for i in range(300)]
+        texts += family(100 + k, 6, base, 0.9885)
+    links = linked([grams(t) for t in texts])
+    want = sum(map(len, links.values()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.similarity_join(docs).agg(F.sum("n_links")).first()[0]
+    assert want > 400 and 0.99 * want <= got <= want
+
+
+def test_sketches_estimate(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    pool = rng.integers(-(2**62), 2**62, 6000)
+    sets = [pool[:n].tolist() for n in (3000, 2500, 1800)] + [pool[4000:].tolist(), pool[:40].tolist(), pool[:33].tolist()]
+    df = spark.createDataFrame([(0, 0, 2, k, 1, s) for k, s in enumerate(sets)], "label long, part long, parts long, rid long, copies long, grams array<long>")
+    rows = {r["rid"]: np.frombuffer(r["sketch"], np.uint8) for r in ngram_join.sketched(df).collect()}
+    m = np.stack([rows[k] for k in range(len(sets))])
+    assert ngram_join.alike(m, m, 0.8).tolist() == [[min(len(set(a) & set(b)) / len(set(a) | set(b)), 1) >= 0.8 for b in sets] for a in sets]
