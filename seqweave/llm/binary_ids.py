@@ -1,6 +1,6 @@
 """Token ids in binary shards, with a minimal perfect hash index from document keys to offsets.
 
-Files: `payload/shard-PPPPP-KKK.bin`, ids as little-endian 16-bit words (32-bit if the tokenizer has more
+Files: `payload/shard-PPPPP-KKK-A.bin`, ids as little-endian 16-bit words (32-bit if the tokenizer has more
 than 65,536 ids), documents in ascending key order, each followed by the end id; `offsets`, a Parquet table
 with a row for each document (key, ordinal among rows with that key, shard, offset and count); `index`, a
 Parquet table with one row for each part of the key space, which holds a minimal perfect hash function
@@ -10,12 +10,13 @@ Index: a key has a 64-bit hash (its part and three vertices) and a second one (i
 a part are the edges of a 3-partite random hypergraph of 1.23 vertices a key, which is peeled by degree-one
 vertices in rounds; in reverse, each edge gives its free vertex a 2-bit value such that the values of its
 three vertices say which of them is the edge's own.  The rank of that vertex among all owned ones is the
-slot.  A lookup reads three values, one rank and one record, whatever the size; a foreign key is told apart by its
+slot.  Values are packed four to a byte, and the rank before every RANK_STEP vertices is stored beside them.  A lookup reads three
+values, one rank with the RANK_STEP values after it, and one record, whatever the size (`get` does it for one key); a foreign key is told apart by its
 fingerprint (an error of 2 ** -32).
 
 At scale: texts are range-partitioned by key once; each task writes its own shards, rolled at SHARD_BYTES,
-under a name of the attempt and then renamed, so a repeated task replaces its files.  Only sums of shards meet
-in one task.  Parts of the index hold about PART_KEYS keys whatever the number of documents.
+under names of its attempt (A), which no other attempt ever writes to; the offsets table, which Spark commits, names those that count, and
+files of attempts that failed are removed at the end.  Only sums of shards meet in one task.  Parts of the index hold about PART_KEYS keys whatever the number of documents.
 
 Defined results: null and empty texts give the end id alone; a null key sorts first; rows that share a key lie
 together in one shard in the order of their text hashes and are told apart by the ordinal; an empty table gives empty ones.
@@ -43,6 +44,7 @@ from .words import mix
 SHARD_BYTES = 256 << 20
 PART_KEYS = 50_000
 LOAD = 1.23
+RANK_STEP = 64
 LOCATIONS = "ordinal long, shard string, offset long, n_tokens long"
 
 
@@ -79,12 +81,6 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabul
         fs.create_dir(root, recursive=True)
         task = TaskContext.get()
         sink, name, at, last, ordinal, rolled = None, "", 0, object(), 0, 0
-        attempt = f"{root}/.{task.taskAttemptId()}.tmp"
-
-        def close() -> None:
-            sink.close()
-            fs.move(attempt, f"{root}/{name}")
-
         for batch in slices(batches, "text"):
             keys = batch.column(0).to_pylist()
             flat, offsets = encode_texts(batch.column(1).to_pylist(), tokenizer)
@@ -97,13 +93,13 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabul
                 if value != last:
                     last, ordinal = value, 0
                     if sink is not None and at >= SHARD_BYTES:
-                        close()
+                        sink.close()
                         sink = None
                 else:
                     ordinal += 1
                 if sink is None:
-                    name, at = f"shard-{task.partitionId():05d}-{rolled:03d}.bin", 0
-                    sink, rolled = fs.open_output_stream(attempt), rolled + 1
+                    name, at = f"shard-{task.partitionId():05d}-{rolled:03d}-{task.taskAttemptId()}.bin", 0
+                    sink, rolled = fs.open_output_stream(f"{root}/{name}"), rolled + 1
                 part = raw[bounds[k] : bounds[k + 1]]
                 sink.write(part)
                 shards.append(name)
@@ -112,11 +108,24 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, vocabul
                 at += len(part)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ordinals, pa.int64()), pa.array(shards, pa.string()), pa.array(places, pa.int64()), pa.array(np.diff(offsets) + 1)], names=["key", "ordinal", "shard", "offset", "n_tokens"])
         if sink is not None:
-            close()
+            sink.close()
 
     ordered = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).repartitionByRange(spread(spark), "key").sortWithinPartitions("key", F.xxhash64("text"))
     ordered.mapInArrow(run, schema).write.parquet(f"{out}/offsets")
-    return spark.read.schema(schema).parquet(f"{out}/offsets")
+    offsets = spark.read.schema(schema).parquet(f"{out}/offsets")
+    remove_orphans(offsets, out)
+    return offsets
+
+
+def remove_orphans(offsets: DataFrame, out: str) -> int:
+    """Removes payload files that the offsets table does not name, of attempts that failed; returns their number.  The driver lists shards, not documents."""
+    fs, root = pafs.FileSystem.from_uri(f"{out}/payload")
+    named = {r["shard"] for r in offsets.select("shard").distinct().collect()}
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    orphans = [f.path for f in found if f.is_file and f.base_name not in named]
+    for path in orphans:
+        fs.delete_file(path)
+    return len(orphans)
 
 
 def starts(offsets: DataFrame, width: int) -> DataFrame:
@@ -170,16 +179,33 @@ def build_mph(h: np.ndarray) -> tuple[int, int, np.ndarray]:
     raise ValueError("keys whose hashes are equal cannot be told apart")
 
 
-def slots(h: np.ndarray, seed: int, third: int, values: np.ndarray) -> np.ndarray:
-    """The slot of each key of the index; for a foreign key some slot or -1."""
+#: For a byte of four values: how many of its first k are a key's own, k from 0 to 4.
+OWNED = np.array([[sum((byte >> 2 * j & 3) != 3 for j in range(k)) for k in range(5)] for byte in range(256)], np.uint8)
+
+
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values four to a byte, to a whole number of steps, and the rank before each step."""
+    full = np.full(-(-len(values) // RANK_STEP) * RANK_STEP, 3, np.uint8)
+    full[: len(values)] = values
+    four = full.reshape(-1, 4)
+    owned = (full != 3).reshape(-1, RANK_STEP).sum(1)
+    return four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6, (np.cumsum(owned) - owned).astype("<u4")
+
+
+def slots(h: np.ndarray, seed: int, third: int, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The slot of each key of the index, from packed values and ranks; for a foreign key some slot or -1."""
     v = vertices(h, seed, third)
-    which = sum(values[row].astype(np.int64) % 3 for row in v) % 3
+    value = lambda at: values[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3
+    which = sum(value(row).astype(np.int64) % 3 for row in v) % 3
     own = v[which, np.arange(len(h))]
-    rank = np.cumsum(values != 3)
-    return np.where(values[own] == 3, -1, rank[own] - 1)
+    step = own // RANK_STEP
+    rank = ranks[step].astype(np.int64)
+    for k in range(RANK_STEP // 4):  # bytes of the step before and with the one the vertex is in
+        rank += OWNED[values[step * (RANK_STEP // 4) + k], np.clip(own - step * RANK_STEP - 4 * k, 0, 4)]
+    return np.where(value(own) == 3, -1, rank)
 
 
-INDEX = "parts long, part long, n long, seed long, third long, `values` binary, prints binary, shards array<string>, shard binary, offset binary, count binary"
+INDEX = "parts long, part long, n long, seed long, third long, `values` binary, ranks binary, prints binary, shards array<string>, shard binary, offset binary, count binary"
 
 
 def write_index(offsets: DataFrame, out: str, part_keys: int = PART_KEYS) -> DataFrame:
@@ -190,12 +216,13 @@ def write_index(offsets: DataFrame, out: str, part_keys: int = PART_KEYS) -> Dat
 
     def build(group: pa.Table) -> pa.Table:
         h = group["h"].to_numpy()
-        seed, third, values = build_mph(h)
-        order = np.argsort(slots(h, seed, third, values))
+        seed, third, plain = build_mph(h)
+        values, ranks = packed(plain)
+        order = np.argsort(slots(h, seed, third, values, ranks))
         names, shard = np.unique(np.array(group["shard"].to_pylist(), object), return_inverse=True)
         column = lambda name, kind: group[name].to_numpy()[order].astype(kind).tobytes()
-        row = {"parts": [parts], "part": [group["part"][0].as_py()], "n": [len(h)], "seed": [seed], "third": [third], "values": [values.tobytes()], "prints": [column("print", "<u4")], "shards": [names.tolist()], "shard": [shard[order].astype("<u4").tobytes()], "offset": [column("offset", "<u8")], "count": [column("n_tokens", "<u4")]}
-        return pa.Table.from_pydict(row, schema=pa.schema([("parts", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("seed", pa.int64()), ("third", pa.int64()), ("values", pa.binary()), ("prints", pa.binary()), ("shards", pa.list_(pa.string())), ("shard", pa.binary()), ("offset", pa.binary()), ("count", pa.binary())]))
+        row = {"parts": [parts], "part": [group["part"][0].as_py()], "n": [len(h)], "seed": [seed], "third": [third], "values": [values.tobytes()], "ranks": [ranks.tobytes()], "prints": [column("print", "<u4")], "shards": [names.tolist()], "shard": [shard[order].astype("<u4").tobytes()], "offset": [column("offset", "<u8")], "count": [column("n_tokens", "<u4")]}
+        return pa.Table.from_pydict(row, schema=pa.schema([("parts", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("seed", pa.int64()), ("third", pa.int64()), ("values", pa.binary()), ("ranks", pa.binary()), ("prints", pa.binary()), ("shards", pa.list_(pa.string())), ("shard", pa.binary()), ("offset", pa.binary()), ("count", pa.binary())]))
 
     keyed = hashed(offsets, parts).select("part", "h", "print", "shard", "offset", "n_tokens")
     keyed.groupBy("part").applyInArrow(build, INDEX).write.parquet(f"{out}/index")
@@ -213,7 +240,7 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
             empty = wanted.select(names).slice(0, 0)
             return empty.append_column("shard", pa.array([], pa.string())).append_column("offset", pa.array([], pa.int64())).append_column("n_tokens", pa.array([], pa.int64()))
         row = held.slice(0, 1).to_pylist()[0]
-        slot = slots(wanted["h"].to_numpy(), row["seed"], row["third"], np.frombuffer(row["values"], np.uint8))
+        slot = slots(wanted["h"].to_numpy(), row["seed"], row["third"], np.frombuffer(row["values"], np.uint8), np.frombuffer(row["ranks"], "<u4"))
         true = (slot >= 0) & (np.frombuffer(row["prints"], "<u4")[slot] == wanted["print"].to_numpy())
         slot, shards = slot[true], np.array(row["shards"], object)
         return (
@@ -226,6 +253,27 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
     return hashed(keys, parts).groupBy("part").cogroup(index.groupBy("part")).applyInArrow(find, schema)
 
 
+def get(spark: SparkSession, out: str, key: object, ordinal: int = 0, width: int = 2) -> np.ndarray | None:
+    """The ids of one document with its end id, or None: one part of the index is read, and then the ids alone."""
+    kind = spark.read.parquet(f"{out}/offsets").schema["key"].dataType
+    index = spark.read.schema(INDEX).parquet(f"{out}/index")
+    parts = index.select("parts").first()
+    if parts is None:
+        return None
+    at = hashed(spark.range(1).select(F.lit(key).cast(kind).alias("key"), F.lit(ordinal).cast("long").alias("ordinal")), parts[0]).first()
+    row = index.where(F.col("part") == at["part"]).first()
+    if row is None:
+        return None
+    slot = int(slots(np.array([at["h"]]), row["seed"], row["third"], np.frombuffer(row["values"], np.uint8), np.frombuffer(row["ranks"], "<u4"))[0])
+    if slot < 0 or int(np.frombuffer(row["prints"], "<u4")[slot]) != at["print"]:
+        return None
+    shard = row["shards"][int(np.frombuffer(row["shard"], "<u4")[slot])]
+    offset, n = int(np.frombuffer(row["offset"], "<u8")[slot]), int(np.frombuffer(row["count"], "<u4")[slot])
+    fs, root = pafs.FileSystem.from_uri(f"{out}/payload")
+    with fs.open_input_file(f"{root}/{shard}") as f:
+        return np.frombuffer(f.read_at(n * width, offset), f"<u{width}")
+
+
 def read_checksums(located: DataFrame, out: str, width: int, keep: list[str]) -> DataFrame:
     """keep with ids_crc32 of the ids (as little-endian 32-bit words) at shard, offset and n_tokens."""
     schema = T.StructType([located.schema[c] for c in keep] + [T.StructField("ids_crc32", T.LongType())])

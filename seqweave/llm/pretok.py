@@ -29,6 +29,9 @@ NEW_LETTERS = (
 )
 NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 MOST_CACHED = 1_200_000
+#: Characters of the pre-tokens that are kept, and the most that one of them has.
+MOST_CHARS = 24_000_000
+LONG = 256
 
 
 @cache
@@ -117,10 +120,13 @@ def pretokens(texts: Sequence[str | None], special: re.Pattern | None = None) ->
 
 
 class Memo:
-    """Lists of numbers for distinct pre-tokens, kept while a Python worker lives; emptied at MOST_CACHED."""
+    """Lists of numbers for distinct pre-tokens, kept while a Python worker lives; emptied at MOST_CACHED pre-tokens or MOST_CHARS characters.
 
-    def __init__(self, make: Callable[[list[str]], list[Sequence[int]]], most: int = MOST_CACHED):
-        self.make, self.most = make, most
+    Those of more than LONG characters, which seldom come again, are held for one call.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[Sequence[int]]], most: int = MOST_CACHED, chars: int = MOST_CHARS):
+        self.make, self.most, self.most_chars = make, most, chars
         self.clear()
 
     def clear(self) -> None:
@@ -128,26 +134,39 @@ class Memo:
         self.flat = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
+
+    def put(self, new: list[str], count: int) -> int:
+        """Works out the numbers of new pre-tokens and places them from `count` on, after what is in use; returns how many numbers they have."""
+        lists = self.make(new)
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        total = int(sizes.sum())
+        while len(self.flat) < self.used + total:
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < count + len(new):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
+        self.start[count : count + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.size[count : count + len(new)] = sizes
+        return total
 
     def places(self, distinct: list[str]) -> np.ndarray:
-        if len(self.at) + len(distinct) > self.most:
+        if len(self.at) + len(distinct) > self.most or self.chars > self.most_chars:
             self.clear()
         new = [x for x in distinct if x not in self.at]
+        long = [x for x in new if len(x) > LONG]
+        if long:
+            new = [x for x in new if len(x) <= LONG]
         if new:
-            lists = self.make(new)
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            count, total = len(self.at), int(sizes.sum())
-            while len(self.flat) < self.used + total:
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while len(self.start) < count + len(new):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
-            self.start[count : count + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.size[count : count + len(new)] = sizes
-            self.used += total
+            count = len(self.at)
+            self.used += self.put(new, count)
+            self.chars += sum(map(len, new))
             self.at.update(zip(new, range(count, count + len(new)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+        if not long:
+            return np.fromiter(map(self.at.__getitem__, distinct), np.int64, len(distinct))
+        self.put(long, len(self.at))  # the next call writes over them
+        once = dict(zip(long, range(len(self.at), len(self.at) + len(long)), strict=True))
+        return np.fromiter((self.at[x] if x in self.at else once[x] for x in distinct), np.int64, len(distinct))
 
     def ragged(self, p: Pretokens) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all texts in a row, and the n + 1 offsets of the texts."""

@@ -51,7 +51,8 @@ def op5_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_trie_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), keep=["doc_id"])
+    out = token_counts.count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), keep=["doc_id"])
+    return out.withColumn("scores", F.lit("zipf by id"))  # the vocabulary file has none of its own
 
 
 def op7_minhash_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ harmonic number of the vocabulary; other scores may be given.  Of cuts with equa
 at each prefix.
 
 Defined results: null and empty texts have 0 tokens; repeated rows get equal counts; an empty table gives an empty one.
-One map over the rows: no shuffle; the trie and the memo of counts are emptied at MOST_NODES and at the memo's own bound.
+One map over the rows: no shuffle; the trie and the memo of counts are emptied at MOST_NODES and at the memo's own bounds, and
+a pre-token of more than LONG bytes is counted without nodes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from .common import bounded_batches, ensure_columns, slices, with_columns
 from .pretok import Memo, pretokens
 
 MOST_NODES = 400_000
+#: A pre-token of more bytes gets no nodes: its scores are held for the longest piece's length alone.
+LONG = 1024
 
 
 def zipf_pieces(path: str) -> dict[bytes, float]:
@@ -56,6 +59,7 @@ class Trie:
             for k in range(1, len(piece)):
                 self.pieces.setdefault(piece[:k], None)  # under way
         self.pieces |= pieces
+        self.longest = max(map(len, pieces))
         self.clear()
 
     def clear(self) -> None:
@@ -66,6 +70,9 @@ class Trie:
         """The number of pieces of each word, which is inserted."""
         out = []
         for word in words:
+            if len(word) > LONG:
+                out.append(self.alone(word))
+                continue
             if len(self.best) > MOST_NODES:
                 self.clear()
             node, path = 0, [0]
@@ -78,6 +85,23 @@ class Trie:
             out.append(self.count[node])
         return out
 
+    def alone(self, word: bytes) -> int:
+        """The same count without nodes, in memory that does not grow with the word."""
+        n = self.longest + 1
+        best, count, still = [0.0] * n, [0] * n, ()
+        for depth in range(len(word)):
+            top, pieces, kept = -math.inf, 0, []
+            for start in (*still, depth):
+                piece = word[start : depth + 1]
+                if piece in self.pieces:
+                    kept.append(start)
+                    score = self.pieces[piece]
+                    if score is not None and (total := best[start % n] + score) > top:
+                        top, pieces = total, count[start % n] + 1
+            still = tuple(kept)
+            best[(depth + 1) % n], count[(depth + 1) % n] = top, pieces
+        return count[len(word) % n]
+
     def extend(self, word: bytes, depth: int, path: list[int]) -> int:
         """A node for word[:depth + 1]; path: the nodes of its shorter prefixes."""
         best, count, still = -math.inf, 0, []

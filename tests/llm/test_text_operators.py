@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -180,7 +181,7 @@ def test_binary_ids(spark, library, tmp_path, monkeypatch):
         assert (got[k]["start"], got[k]["n_tokens"], got[k]["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     files = sorted((tmp_path / "ids" / "payload").glob("*.bin"))
-    assert sum(f.stat().st_size for f in files) == 2 * at and not list((tmp_path / "ids" / "payload").glob(".*.tmp"))
+    assert sum(f.stat().st_size for f in files) == 2 * at
     index = spark.read.schema(binary_ids.INDEX).parquet(f"{out}/index")
     strangers = spark.range(10_000, 12_000).select(F.col("id").alias("key"), F.lit(0).cast("long").alias("ordinal"))
     assert binary_ids.lookup(strangers, index).count() == 0
@@ -197,7 +198,142 @@ def test_binary_ids_of_repeated_null_and_no_rows(spark):
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 30_000])
 def test_minimal_perfect_hash(n):
     h = np.unique(np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n))
-    assert sorted(binary_ids.slots(h, *binary_ids.build_mph(h)).tolist()) == list(range(len(h)))
+    seed, third, plain = binary_ids.build_mph(h)
+    assert sorted(binary_ids.slots(h, seed, third, *binary_ids.packed(plain)).tolist()) == list(range(len(h)))
+
+
+def test_packed_values_and_ranks():
+    plain = np.random.default_rng(2).integers(0, 4, 1001).astype(np.uint8)
+    values, ranks = binary_ids.packed(plain)
+    assert len(values) * 4 == -(-1001 // binary_ids.RANK_STEP) * binary_ids.RANK_STEP
+    assert [int(values[i >> 2]) >> 2 * (i & 3) & 3 for i in range(1001)] == plain.tolist()
+    assert ranks.tolist() == [int((plain[:k] != 3).sum()) for k in range(0, 1001, binary_ids.RANK_STEP)]
+
+
+def test_one_key(spark, library, tmp_path):
+    texts = odd_texts(60)
+    out = f"file://{tmp_path}/ids"
+    binary_ids.export_and_read_back(frame(spark, texts), PATH, 2, 50257, out=out)
+    for k in (0, 7, 31, 59):
+        assert binary_ids.get(spark, out, k).tolist() == [*library.encode(texts[k] or "", add_special_tokens=False).ids, 2]
+    assert binary_ids.get(spark, out, 10_000) is None and binary_ids.get(spark, out, 7, ordinal=1) is None
+
+
+FAILS_ONCE = """
+import sys
+from pathlib import Path
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", "file://{tmp}/shared").getOrCreate()
+from seqweave.llm import binary_ids
+real = binary_ids.encode_texts
+def failing(texts, path):
+    flag = Path("{tmp}/failed")
+    out = real(texts, path)
+    if "last" in texts and not flag.exists():
+        flag.write_text("")
+        raise OSError("lost")
+    return out
+binary_ids.encode_texts = failing
+binary_ids.slices = lambda batches, text: (b.slice(k, 1) for b in batches for k in range(b.num_rows))
+df = spark.createDataFrame([(k, "some text " * k) for k in range(9)] + [(9, "last")], "doc_id long, text string")
+rows = binary_ids.export_and_read_back(df, {path!r}, 2, 50257, out="file://{tmp}/ids").collect()
+assert Path("{tmp}/failed").exists() and len(rows) == 10
+size = sum(f.stat().st_size for f in Path("{tmp}/ids/payload").glob("*.bin"))
+assert size == 2 * sum(r["n_tokens"] for r in rows), size
+print("whole")
+"""
+
+
+def test_a_task_that_fails_once(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = FAILS_ONCE.format(root=str(Path(__file__).resolve().parents[2]), tmp=tmp_path, path=PATH)
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert run.stdout.strip().endswith("whole"), run.stderr[-3000:]
+
+
+def test_orphans_go(spark, tmp_path):
+    out = f"file://{tmp_path}/ids"
+    offsets = binary_ids.write_shards(frame(spark, ["a b", "c"]), out, PATH, 2, 50257)
+    stray = tmp_path / "ids" / "payload" / "shard-00000-000-99999.bin"
+    stray.write_bytes(b"xx")
+    assert binary_ids.remove_orphans(offsets, out) == 1 and not stray.exists() and offsets.count() == 2
+
+
+def test_memo_is_bounded_by_characters():
+    from seqweave.llm.pretok import LONG, Memo
+
+    made = []
+    memo = Memo(lambda xs: [made.append(x) or [len(x)] * (len(x) % 3) for x in xs], chars=50)
+    long = "y" * (LONG + 2)
+    for words in (["a", "bb", long, "cccc"], ["bb", long], ["d" * 60], ["a", "bb"]):
+        place = memo.places(words)
+        assert [memo.flat[memo.start[p] : memo.start[p] + memo.size[p]].tolist() for p in place] == [[len(x)] * (len(x) % 3) for x in words]
+    assert made.count(long) == 2 and made.count("bb") == 2 and long not in memo.at
+
+
+def test_long_pretokens_without_nodes():
+    rng = random.Random(5)
+    pieces = {bytes([b]): -9.0 - b / 999 for b in range(256)} | {bytes(rng.choices(b"ab", k=n)): -rng.random() * 9 for n in (2, 2, 3, 3, 4, 5, 6)}
+    for n in (1, 2, 9, 300):
+        word, trie = bytes(rng.choices(b"ab", k=n)), token_counts.Trie(pieces)
+        assert trie.alone(word) == trie.counts([word])[0]
+    trie = token_counts.Trie(pieces)
+    assert trie.counts([b"ab" * 50_000])[0] > 0 and len(trie.best) == 1
+
+
+def test_counts_of_repeated_rows_and_long_texts(spark):
+    texts = ["a b c"] * 3 + ["x" * 5000 + " y", None]
+    out = token_counts.count_tokens(frame(spark, texts), PATH).collect()
+    by = {r["doc_id"]: r["n_tokens"] for r in out}
+    assert by[0] == by[1] == by[2] == 3 and by[4] == 0 and by[3] > 5
+
+
+def noisy_or(weight, bias, texts):
+    """Scores by the definition: 1 - the product of 1 - p over sentences, p the sigmoid of the sum of its distinct features' weights."""
+    out = []
+    for sentences in texts:
+        clean = 1.0
+        for features in sentences:
+            clean *= 1 - 1 / (1 + math.exp(-(bias + sum(weight[f] for f in features))))
+        out.append(1 - clean)
+    return out
+
+
+def test_noisy_or_gradient():
+    """One step from the start moves each weight by the sign of the likelihood's slope, measured by differences; many steps raise the likelihood."""
+    rng = random.Random(7)
+    texts = [[sorted(rng.sample(range(6), rng.randrange(1, 4))) for _ in range(rng.randrange(1, 4))] for _ in range(40)]
+    y = np.array([any(0 in s and 1 in s or 5 in s for s in t) for t in texts])
+    doc = np.array([k for k, t in enumerate(texts) for _ in t])
+    flat = [s for t in texts for s in t]
+    row, col = (np.array(x) for x in zip(*[(k, f) for k, s in enumerate(flat) for f in s], strict=True))
+    loss = lambda w, b: -sum(math.log(max(p if t else 1 - p, 1e-12)) for p, t in zip(noisy_or(w, b, texts), y, strict=True)) / len(y)
+    start = np.full(6, 0.5)
+    weight, bias = toxicity.descend(row, col, doc, y, 6, 1)
+    for f in range(6):
+        step = np.zeros(6)
+        step[f] = 1e-5
+        slope = (loss(start + step, -6.0) - loss(start - step, -6.0)) / 2e-5
+        assert np.sign(weight[f] - start[f]) == -np.sign(slope)
+    weight, bias = toxicity.descend(row, col, doc, y, 6, 400)
+    assert loss(weight, bias) < loss(start, -6.0) / 4
+    found = np.array(noisy_or(weight, bias, texts)) >= 0.5
+    assert (found == y).mean() > 0.9
+
+
+def test_scores_are_the_noisy_or_of_sentences():
+    weights = {f: w for word, w in (("bad", 5.0), ("worse", 9.0)) for f in toxicity.features(word)[:1]}
+    model = toxicity.Model(toxicity.saved(weights, -6.0))
+    texts = ["A bad day. A worse one. Fine.", "Fine.", "", None, "bad bad bad", "Bad. " * 2000, "bad " + "x" * 100_000]
+    scores, doc, p, _, _ = model.score(pa.array(texts, pa.string()))
+    want = [1 - math.prod(1 - x for x in p[doc == k].tolist()) for k in range(len(texts))]
+    assert np.allclose(scores, want) and scores[2] == scores[3] == 0 and scores[0] > scores[1]
+    again, *_ = model.score(pa.array(texts * 2, pa.string()))
+    assert np.allclose(again, [*want, *want])
 
 
 def test_toxicity_finds_the_sentence(spark):
