@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,15 +34,33 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def drop_stored(spark: SparkSession) -> int:
     """Deletes the intermediate tables of this process, once no DataFrame that reads them is needed; returns their number."""
+    paths = _written[:]
+    _written.clear()
+    return deleted(spark, paths)
+
+
+def deleted(spark: SparkSession, paths: list[str]) -> int:
     jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """df written to the shared folder and read back: a cut of the lineage that outlives its executors."""
+def stored(df: DataFrame, what: str = "step", block: int | None = None) -> DataFrame:
+    """df written to the shared folder and read back: a cut of the lineage that outlives its executors.
+
+    block: bytes of a row group, where later passes are to be spread over more tasks than wrote it.
+    """
     path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    (df.write if block is None else df.write.option("parquet.block.size", block)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], what: str) -> tuple[DataFrame, str]:
+    """What make() gives, stored, and its path; the intermediate tables that make() wrote are then deleted."""
+    before = len(_written)
+    out = stored(make(), what)
+    made, _written[before:] = _written[before:-1], _written[-1:]
+    deleted(spark, made)
+    return out, _written[-1]
