@@ -62,6 +62,8 @@ PASSES = 3
 SHORT = 8
 #: An estimated number of words may be so many times too high.
 SLACK = 2.0
+#: Bytes of a row group of the stored texts, which each pass reads: a table of few files is then many tasks' work.
+BLOCK = 4 << 20
 #: Tables of up to so many rows are broadcast.
 FEW = 200_000
 
@@ -317,8 +319,8 @@ def confidences(edges: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFr
         sums = edges.join(scores.select("token", "score"), "token").groupBy("side", "h").agg(F.sum("score").alias("sum"), F.count("*").alias("others"))
         patterns = seeds.join(sums, ["side", "h"], "left").select("side", "h", mean.alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE)
         patterns = stored(patterns, "patterns") if k == rounds - 1 else patterns
-        scores = stored(scored(edges, patterns), "scores")
-    return patterns, scores
+        scores = scored(edges, patterns)  # each is used once by the next round: one job in all
+    return patterns, stored(scores, "scores")
 
 
 def bound() -> Column:
@@ -332,10 +334,10 @@ def counted(base: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def able(active: DataFrame, met: DataFrame) -> DataFrame:
-    """The active patterns that, by what is counted in met, can reach the least confidence by distinct words and by places."""
+    """The active patterns that, by what is counted in met (nothing, if not there), can reach the least confidence by distinct words and by places."""
     others = F.greatest(F.lit(0.0), F.coalesce(F.col("words") / SLACK, F.lit(0.0)) - F.col("seeds"))
-    both = active.join(met, ["side", "h"]).withColumn("others", others)
-    return both.where(bound() >= LEAST_CONFIDENCE).where(F.col("n") >= LEAST_CONFIDENCE * F.col("places"))
+    both = active.join(met, ["side", "h"], "left").withColumn("others", others)
+    return both.where(bound() >= LEAST_CONFIDENCE).where(F.col("n") >= LEAST_CONFIDENCE * F.coalesce("places", F.lit(0)))
 
 
 def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, passes: int = PASSES) -> DataFrame | None:
@@ -354,7 +356,7 @@ def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
         if not fresh.isEmpty():
             # The documents with seeds alone bound the counts from below, and leave few patterns to look for everywhere.
             some = stored(counted(base.where(F.size("seeds") > 0), fresh), "words")
-            likely = stored(able(outside, some).select("side", "h"), "likely")
+            likely = stored(able(outside.join(fresh, ["side", "h"], "left_semi"), some).select("side", "h"), "likely")
             some = some.join(likely, ["side", "h"], "left_anti")
             some = stored(some if likely.isEmpty() else some.unionByName(counted(base, likely)), "words")
             met = some if met is None else stored(met.unionByName(some), "words")
@@ -416,7 +418,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs: key, tie (a hash of the text), spans (base ones, then new ones of kind `id`, by kind and start)."""
     ensure_columns(docs, key, text)
     base = base_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie")))
-    base = stored(base.select(F.monotonically_increasing_id().alias("row"), "key", "tie", F.coalesce("text", F.lit("")).alias("text"), "spans", "seeds"), "spans")
+    base = stored(base.select(F.monotonically_increasing_id().alias("row"), "key", "tie", F.coalesce("text", F.lit("")).alias("text"), "spans", "seeds"), "spans", BLOCK)
     new = bootstrap(base)
     if new is None:
         return base.select(F.col("key").alias(key), "tie", "spans")

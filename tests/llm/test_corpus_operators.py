@@ -296,3 +296,40 @@ def test_checkpoint_folder_is_the_sessions(spark):
     from seqweave.llm.common import shared_dir
 
     assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_stages_leave_their_results_alone(spark):
+    """After a run of the pipeline the shared folder holds one more table: what its last stage reads."""
+    from pathlib import Path
+
+    from seqweave.plans.storage import shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.iterdir()}
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert [n.split("-")[0] for n in {p.name for p in folder.iterdir()} - before] == ["mix_sources"] and out.count() > 0
+
+
+def test_forms_contexts_and_heads_lead_on(spark):
+    """Two steps: keys are found by their form, and a key without digits by the heads of those; dates and paths of which the corpus has many are left."""
+    rng = random.Random(12)
+    pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    word = lambda: pick("abcdefgh", rng.randrange(2, 11))
+    say = lambda: " ".join(word() for _ in range(6))
+    texts = [f"{say()} {word()}.{rng.randrange(10, 99)}@mail{k % 9}.example.com {say()}" for k in range(60)]
+    keys = ["QKEY" + pick("ABCDEFG234567", 15) + "7" for _ in range(30)] + ["QKEY" + pick("ABCDEFG", 16) for _ in range(3)]
+    texts += [f"{say()} {k} {say()}" for k in keys]
+    texts += [f"{say()} 20{rng.randrange(10, 99)}-0{rng.randrange(1, 9)}-1{rng.randrange(9)} {say()}" for _ in range(60)]
+    out = found(spark, texts)
+    assert out[:60] == [[]] * 60 and out[93:] == [[]] * 60
+    hits = sum(o == [k] for o, k in zip(out[60:93], keys, strict=True))
+    assert hits == len(keys), [o for o in out[60:93]]
+
+
+def test_precision_and_recall_of_added_spans(spark):
+    """On documents with planted keys among clean ones: what is added against what was planted."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+    planted = {(k, m.start(), m.end()) for k, t in text.items() for m in re.finditer(r"(?<=token = )\"[0-9a-f]+\"|(?<![^\s])[0-9]{16}(?!\S)", t) if not any(a <= m.start() < b for _, a, b in base(t))}
+    added = {(r["doc_id"], s["start"], s["end"]) for r in pii.find(docs).collect() for s in r["spans"] if s["kind"] == pii.ID}
+    assert planted and len(added & planted) >= 0.9 * len(planted) and len(added & planted) >= 0.9 * len(added), (planted - added, added - planted)
