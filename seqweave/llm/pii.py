@@ -64,7 +64,7 @@ SHORT = 8
 SLACK = 2.0
 #: Bytes of a row group of the stored texts, which each pass reads: a table of few files is then many tasks' work.
 BLOCK = 4 << 20
-#: Tables of up to so many rows are broadcast.
+#: Tables of up to so many rows are broadcast, or worked on in one task.
 FEW = 200_000
 
 
@@ -186,9 +186,29 @@ def base_spans(docs: DataFrame, text: str = "text", context: bool = True) -> Dat
     return df.drop("_text")
 
 
-def few(df: DataFrame) -> DataFrame:
-    """A stored table, broadcast if a count says that it is small."""
-    return F.broadcast(df) if df.count() <= FEW else df
+class Table:
+    """A stored table, counted once: what is small by its count is broadcast or worked on in one task, anything larger is shuffled as usual.
+
+    The graph of a small corpus takes many steps, each of which would else be as many tasks as the session's shuffles have, for a few rows.
+    """
+
+    def __init__(self, df: DataFrame, what: str) -> None:
+        self.df = stored(df, what)
+        self.n = self.df.count()
+
+    @property
+    def near(self) -> DataFrame:
+        """The table in one partition if it has few rows: joins and aggregates of such tables need no shuffle."""
+        return self.df.coalesce(1) if self.n <= FEW else self.df
+
+    @property
+    def sent(self) -> DataFrame:
+        """The table to be sent to all tasks if it has few rows."""
+        return self.few(self.df)
+
+    def few(self, part: DataFrame) -> DataFrame:
+        """The same for some of its rows or columns."""
+        return F.broadcast(part) if self.n <= FEW else part
 
 
 def forms(word: Column) -> Column:
@@ -250,9 +270,9 @@ def placed(base: DataFrame) -> DataFrame:
     return rows.select("row", "at", "raw", F.when(F.col("p1").isNotNull(), F.xxhash64("p2", "p1")).alias("left"), F.when(F.col("n1").isNotNull(), F.xxhash64("n1", "n2")).alias("right"))
 
 
-def hits(base: DataFrame, patterns: DataFrame) -> DataFrame:
+def hits(base: DataFrame, patterns: Table) -> DataFrame:
     """row, word (its number), token (its hash), side and h where a word has one of the patterns (a stored table: side L, R or H, and h)."""
-    of = lambda s, name: few(patterns.where(F.col("side") == s).select(F.col("h").alias(name), F.lit(True).alias(f"in_{name}")))
+    of = lambda s, name: patterns.few(patterns.df.where(F.col("side") == s).select(F.col("h").alias(name), F.lit(True).alias(f"in_{name}")))
     met = placed(base).withColumn("head", head(F.col("raw"))).join(of("L", "left"), "left", "left").join(of("R", "right"), "right", "left").join(of("H", "head"), "head", "left")
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.when(F.col(f"in_{n}"), F.col(n)).alias("h")) for s, n in (("L", "left"), ("R", "right"), ("H", "head"))])
     return met.where("in_left or in_right or in_head").select("row", F.col("at").alias("word"), F.xxhash64("raw").alias("token"), F.inline(F.filter(sides, lambda x: x["h"].isNotNull())))
@@ -266,28 +286,27 @@ def vocabulary(base: DataFrame) -> DataFrame:
 
 def places_of(base: DataFrame, ranges: DataFrame) -> DataFrame:
     """row, head (hash of the first word) and the fields of instance() for ranges: row, first, last."""
-    by_row = stored(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
-    met = base.select("row", "text").join(few(by_row), "row")
+    by_row = Table(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
+    met = base.select("row", "text").join(by_row.sent, "row")
     bound = F.struct(words_of(F.col("text")).alias("words"), words_of(plain(F.col("text"))).alias("low"), F.col("ranges").alias("ranges"))
     one = lambda p, x: F.struct(instance(p["words"], p["low"], x["first"], x["last"]).alias("at"), F.xxhash64(F.get(p["words"], x["first"])).alias("head"))
     inside = lambda p: F.filter(p["ranges"], lambda x: x["last"] < F.size(p["words"]))
     return met.select("row", F.inline(let(bound, lambda p: F.transform(inside(p), lambda x: one(p, x))))).select("row", "head", "at.*")
 
 
-def long_instances(base: DataFrame, ranges: DataFrame, covered: DataFrame) -> DataFrame:
+def long_instances(base: DataFrame, ranges: DataFrame, covered: Table) -> DataFrame:
     """Places of the instances of several words at ranges (row, first, last), wherever they stand clear of covered words."""
-    new = stored(places_of(base, ranges).select("instance", "head", (F.col("last") - F.col("first") + 1).alias("n")).distinct(), "new")
-    heads = stored(new.select("head", "n").distinct(), "heads")
+    new = Table(places_of(base, ranges).select("instance", "head", (F.col("last") - F.col("first") + 1).alias("n")).distinct(), "new")
     words = base.select("row", F.posexplode(split_words(F.col("text"))).alias("first", "raw")).withColumn("head", F.xxhash64("raw"))
-    met = words.join(few(heads), "head").select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
-    met = stored(places_of(base, stored(met, "ranges")).join(few(new.select("instance")), "instance", "left_semi"), "places")
-    return clear(met, covered).select("row", "first", "last", "instance", "word", "left", "right")
+    met = words.join(new.few(new.df.select("head", "n").distinct()), "head").select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    met = Table(places_of(base, stored(met, "ranges")).join(new.few(new.df.select("instance")), "instance", "left_semi"), "places")
+    return clear(met.near, covered).select("row", "first", "last", "instance", "word", "left", "right")
 
 
-def clear(places: DataFrame, covered: DataFrame) -> DataFrame:
+def clear(places: DataFrame, covered: Table) -> DataFrame:
     """Places none of whose words is covered."""
-    words = places.select("row", "first", "last", F.explode(F.sequence("first", "last")).alias("word"))
-    bad = words.join(covered, ["row", "word"]).select("row", "first", "last").distinct()
+    words = places.select("row", "first", "last", F.explode(F.sequence("first", "last")).alias("at"))
+    bad = words.join(covered.few(covered.df.withColumnRenamed("word", "at")), ["row", "at"]).select("row", "first", "last").distinct()
     return places.join(bad, ["row", "first", "last"], "left_anti")
 
 
@@ -311,16 +330,18 @@ def scored(edges: DataFrame, patterns: DataFrame) -> DataFrame:
     return met.agg(best.alias("form"), (1 - (1 - best) * F.exp(rest)).alias("score"))
 
 
-def confidences(edges: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+def confidences(edges: DataFrame, seeds: DataFrame, rounds: int) -> tuple[Table, DataFrame]:
     """side, h, confidence, and token, form, score from edges (distinct side, h, token of words that are no seeds) and seeds (side, h, seeds)."""
     mean = (F.col("seeds") + F.coalesce("sum", F.lit(0.0))) / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
     scores = edges.select("token").distinct().select("token", F.lit(0.0).alias("score"))
     for k in range(rounds):
         sums = edges.join(scores.select("token", "score"), "token").groupBy("side", "h").agg(F.sum("score").alias("sum"), F.count("*").alias("others"))
         patterns = seeds.join(sums, ["side", "h"], "left").select("side", "h", mean.alias("confidence")).where(F.col("confidence") >= LEAST_CONFIDENCE)
-        patterns = stored(patterns, "patterns") if k == rounds - 1 else patterns
+        if k == rounds - 1:
+            last = Table(patterns, "patterns")
+            patterns = last.near
         scores = scored(edges, patterns)  # each is used once by the next round: one job in all
-    return patterns, stored(scores, "scores")
+    return last, scores
 
 
 def bound() -> Column:
@@ -328,7 +349,7 @@ def bound() -> Column:
     return F.col("seeds") / (F.col("seeds") + F.coalesce("others", F.lit(0))) * (1 - 1 / (1 + F.col("seeds")))
 
 
-def counted(base: DataFrame, patterns: DataFrame) -> DataFrame:
+def counted(base: DataFrame, patterns: Table) -> DataFrame:
     """side, h, words (an estimate of the distinct words that have the pattern) and places."""
     return hits(base, patterns).groupBy("side", "h").agg(F.approx_count_distinct("token").alias("words"), F.count("*").alias("places"))
 
@@ -343,75 +364,74 @@ def able(active: DataFrame, met: DataFrame) -> DataFrame:
 def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, passes: int = PASSES) -> DataFrame | None:
     """row, first, last of new identifiers in base (row, text, seeds), by numbers of words; None if there are none."""
     seeds = base.select("row", F.inline("seeds"))
-    spans = stored(covering(seeds), "covered")
-    known, covered, found, met, at = stored(patterns_of(seeds), "known"), spans, None, None, None
-    if known.isEmpty():
+    covered = Table(covering(seeds), "covered")
+    known, found, met, at = Table(patterns_of(seeds), "known"), None, None, None
+    if not known.n:
         return None
-    shapes = stored(vocabulary(base), "vocabulary")
+    shapes = Table(vocabulary(base), "vocabulary")
     for _ in range(passes):
-        active = stored(known.groupBy("side", "h").agg(F.count("*").alias("seeds"), F.sum("n").alias("n")).where(F.col("seeds") >= least_seeds), "active")
+        active = Table(known.near.groupBy("side", "h").agg(F.count("*").alias("seeds"), F.sum("n").alias("n")).where(F.col("seeds") >= least_seeds), "active")
         # Outer patterns that many other words have, or that other words have most of the time, go before any place is written; later passes reuse the counts.
-        outside = active.where("side <> 'F'")
-        fresh = stored((outside if met is None else outside.join(met, ["side", "h"], "left_anti")).select("side", "h"), "fresh")
-        if not fresh.isEmpty():
+        outside = active.near.where("side <> 'F'")
+        fresh = Table((outside if met is None else outside.join(met.near, ["side", "h"], "left_anti")).select("side", "h"), "fresh")
+        if fresh.n:
             # The documents with seeds alone bound the counts from below, and leave few patterns to look for everywhere.
-            some = stored(counted(base.where(F.size("seeds") > 0), fresh), "words")
-            likely = stored(able(outside.join(fresh, ["side", "h"], "left_semi"), some).select("side", "h"), "likely")
-            some = some.join(likely, ["side", "h"], "left_anti")
-            some = stored(some if likely.isEmpty() else some.unionByName(counted(base, likely)), "words")
-            met = some if met is None else stored(met.unionByName(some), "words")
-        strong = outside.limit(0) if met is None else able(outside, met)
-        strong = stored(strong.select("side", "h", "seeds"), "strong")
+            some = Table(counted(base.where(F.size("seeds") > 0), fresh), "words")
+            likely = Table(able(outside.join(fresh.near, ["side", "h"], "left_semi"), some.near).select("side", "h"), "likely")
+            known_by = some.near.join(likely.near, ["side", "h"], "left_anti")
+            if likely.n:
+                known_by = known_by.unionByName(Table(counted(base, likely), "words").near)
+            met = Table(known_by if met is None else met.near.unionByName(known_by), "words")
+        strong = Table((outside.limit(0) if met is None else able(outside, met.near)).select("side", "h", "seeds"), "strong")
         # Forms: the vocabulary is counted exactly.
-        others = shapes.join(known.select(F.col("instance").alias("token")).distinct(), "token", "left_anti").withColumn("side", F.lit("F"))
-        others = others.join(active.where("side = 'F'").select("side", "h"), ["side", "h"])
-        inner = stored(active.where("side = 'F'").join(others.groupBy("side", "h").agg(F.count("*").alias("others")), ["side", "h"], "left").where(bound() >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "forms")
-        edges = others.join(inner.select("side", "h"), ["side", "h"]).select("side", "h", "token")
-        more = strong if at is None else strong.join(at.select("side", "h").distinct(), ["side", "h"], "left_anti")
-        if not more.isEmpty():
-            more = hits(base, stored(more.select("side", "h"), "more"))
-            at = stored(more if at is None else at.unionByName(more), "hits")
+        others = shapes.near.join(known.near.select(F.col("instance").alias("token")).distinct(), "token", "left_anti").withColumn("side", F.lit("F"))
+        others = others.join(active.near.where("side = 'F'").select("side", "h"), ["side", "h"])
+        inner = Table(active.near.where("side = 'F'").join(others.groupBy("side", "h").agg(F.count("*").alias("others")), ["side", "h"], "left").where(bound() >= LEAST_CONFIDENCE).select("side", "h", "seeds"), "forms")
+        edges = others.join(inner.near.select("side", "h"), ["side", "h"]).select("side", "h", "token")
+        more = Table((strong.near if at is None else strong.near.join(at.near.select("side", "h").distinct(), ["side", "h"], "left_anti")).select("side", "h"), "more")
+        if more.n:
+            new = Table(hits(base, more), "hits")
+            at = new if at is None else Table(at.near.unionByName(new.near), "hits")
         now = None
         if at is not None:
-            now = stored(at.join(strong.select("side", "h"), ["side", "h"]).join(covered, ["row", "word"], "left_anti"), "hits")
-            edges = edges.unionByName(now.select("side", "h", "token").distinct())
-        edges = stored(edges, "edges")
-        if edges.isEmpty():
+            now = Table(at.near.join(strong.near.select("side", "h"), ["side", "h"]).join(covered.sent, ["row", "word"], "left_anti"), "hits")
+            edges = edges.unionByName(now.near.select("side", "h", "token").distinct())
+        edges = Table(edges, "edges")
+        if not edges.n:
             break
-        patterns, scores = confidences(edges, strong.unionByName(inner), rounds)
-        good = stored(scores.where(F.col("score") >= least_score), "good")
+        patterns, scores = confidences(edges.near, strong.near.unionByName(inner.near), rounds)
+        good = Table(scores.where(F.col("score") >= least_score), "good")
         places = None
         if now is not None:
             # Runs first, then words outside of them.
-            sure = now.join(patterns.withColumnRenamed("confidence", "worth"), ["side", "h"])
-            long = stored(clear(runs(sure).where(1 - (1 - F.col("lw")) * (1 - F.col("rw")) >= least_score), covered).select("row", "first", "last"), "runs")
-            if not long.isEmpty():
-                places = stored(long_instances(base, long, covered), "runs")
-        if not good.isEmpty():
-            taken = covered if places is None else stored(covered.union(covering(places)).distinct(), "covered")
+            sure = now.near.join(patterns.near.withColumnRenamed("confidence", "worth"), ["side", "h"])
+            long = Table(clear(runs(sure).where(1 - (1 - F.col("lw")) * (1 - F.col("rw")) >= least_score), covered).select("row", "first", "last"), "runs")
+            if long.n:
+                places = Table(long_instances(base, long.df, covered), "runs")
+        if good.n:
+            taken = covered if places is None else Table(covered.df.union(covering(places.df)).distinct(), "covered")
             tokens = base.select("row", F.posexplode(split_words(F.col("text"))).alias("word", "raw")).withColumn("token", F.xxhash64("raw"))
             # Stored before the next join, which the optimizer would else move below this one, to all words.
-            every = stored(tokens.join(few(good.select("token", "form")), "token").select("row", "word", "token", "form"), "places")
-            every = stored(every.join(taken, ["row", "word"], "left_anti"), "places")
-            every = every.join(places_of(base, every.select("row", F.col("word").alias("first"), F.col("word").alias("last"))).select("row", F.col("first").alias("at"), "word", "left", "right").withColumnsRenamed({"word": "raw", "at": "word"}), ["row", "word"])
-            every = stored(every, "places")
+            every = Table(tokens.join(good.few(good.df.select("token", "form")), "token").select("row", "word", "token", "form"), "places")
+            every = Table(every.near.join(taken.sent, ["row", "word"], "left_anti"), "places")
+            at_words = places_of(base, every.near.select("row", F.col("word").alias("first"), F.col("word").alias("last")))
+            at_words = Table(at_words.select("row", F.col("first").alias("at"), "word", "left", "right").withColumnsRenamed({"word": "raw", "at": "word"}), "places")
+            every = every.near.join(at_words.near, ["row", "word"])
             # A word with few digits that no form speaks for must stand in such patterns often enough.
-            inside = patterns.where("side <> 'F'").select("side", "h")
+            inside = patterns.near.where("side <> 'F'").select("side", "h")
             seen = every.where(F.col("form") < least_score).where(F.length(digits(F.col("raw"))) < 3).select("token", F.col("raw").alias("word"), "left", "right").distinct()
             met_by = seen.select("token", "left", "right", F.inline(outer())).join(inside, ["side", "h"]).select("token", "left", "right").distinct()
             counts = seen.groupBy("token").agg(F.count("*").alias("all")).join(met_by.groupBy("token").agg(F.count("*").alias("met")), "token", "left")
-            rare = stored(counts.where(F.coalesce("met", F.lit(0)) < LEAST_SHARE * F.col("all")).select("token"), "rare")
-            short = every.join(rare, "token", "left_anti").select("row", F.col("word").alias("first"), F.col("word").alias("last"), F.col("token").alias("instance"), F.col("raw").alias("word"), "left", "right")
-            places = short if places is None else places.unionByName(short)
-        if places is None:
-            break
-        places = stored(places, "found")
-        if places.isEmpty():
+            rare = Table(counts.where(F.coalesce("met", F.lit(0)) < LEAST_SHARE * F.col("all")).select("token"), "rare")
+            short = every.join(rare.near, "token", "left_anti").select("row", F.col("word").alias("first"), F.col("word").alias("last"), F.col("token").alias("instance"), F.col("raw").alias("word"), "left", "right")
+            places = Table(short if places is None else places.near.unionByName(short), "found")
+        if places is None or not places.n:
             break
-        found = places.select("row", "first", "last") if found is None else stored(found.unionByName(places.select("row", "first", "last")), "found")
-        known = stored(known.unionByName(patterns_of(places)).groupBy("instance", "side", "h").agg(F.sum("n").alias("n")), "known")
-        covered = stored(covered.union(covering(places)).distinct(), "covered")
-    return found
+        spots = places.near.select("row", "first", "last")
+        found = Table(spots if found is None else found.near.unionByName(spots), "found")
+        known = Table(known.near.unionByName(patterns_of(places.near)).groupBy("instance", "side", "h").agg(F.sum("n").alias("n")), "known")
+        covered = Table(covered.near.union(covering(places.near)).distinct(), "covered")
+    return None if found is None else found.near
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -422,8 +442,8 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     new = bootstrap(base)
     if new is None:
         return base.select(F.col("key").alias(key), "tie", "spans")
-    by_row = stored(new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")), "marks")
-    met = matches(base.select("row", "text").join(few(by_row), "row"), "text", WORD, "_word", F.lit(True))
+    by_row = Table(new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")), "marks")
+    met = matches(base.select("row", "text").join(by_row.sent, "row"), "text", WORD, "_word", F.lit(True))
     # Of ranges that overlap (in one text, found in different ways) the later one goes on where the earlier one ends.
     joined = lambda p: F.aggregate(p["ranges"], F.array().cast("array<struct<first:int,last:int>>"), lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["last"] >= x["first"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["first"].alias("first"), F.greatest(F.get(a, F.size(a) - 1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))))
     spans = let(F.struct(F.col("_word").alias("words"), F.col("ranges").alias("ranges")), lambda p: F.transform(joined(p), lambda x: F.struct(F.lit(ID).alias("kind"), F.get(p["words"], x["first"])["start"].alias("start"), F.get(p["words"], x["last"])["end"].alias("end"))))
