@@ -30,6 +30,9 @@ from pyspark.sql import types as T
 from .common import bounded_batches, ensure_columns, slices, with_columns
 from .pretok import Memo, pretokens
 
+#: Pre-tokens that a worker remembers: half of what others do, as the merge tables take memory too.
+MOST_MERGED = 600_000
+
 
 @cache
 def byte_chars() -> list[str]:
@@ -120,7 +123,7 @@ class Bpe:
 def loaded(path: str) -> tuple[Bpe, Memo]:
     """The tokenizer and its memo, once for each worker."""
     bpe = Bpe(path)
-    return bpe, Memo(bpe.encode_distinct)
+    return bpe, Memo(bpe.encode_distinct, MOST_MERGED)
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
