@@ -34,9 +34,10 @@ kinds may; other columns are passed on or left out as each function says; an emp
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ensure_columns, field, rows_of, stored
@@ -62,6 +63,8 @@ PASSES = 3
 SHORT = 8
 #: An estimated number of words may be so many times too high.
 SLACK = 2.0
+#: Characters of a plan that the driver keeps for each of many jobs.
+PLAN_CHARACTERS = 10_000
 #: Bytes of a row group of the stored texts, which each pass reads: a table of few files is then many tasks' work.
 BLOCK = 4 << 20
 #: Tables of up to so many rows are broadcast, or worked on in one task.
@@ -186,6 +189,21 @@ def base_spans(docs: DataFrame, text: str = "text", context: bool = True) -> Dat
     return df.drop("_text")
 
 
+@contextmanager
+def many_jobs(spark: SparkSession) -> Iterator[Callable[[], None]]:
+    """For a long chain of small jobs: the driver keeps no more than the head of each one's plan as text, and what is given back, called between
+    passes, frees the broadcasts and compiled classes of jobs that are over, which the driver's JVM else holds until its heap is full."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(PLAN_CHARACTERS))
+    sweep = spark.sparkContext._jvm.java.lang.System.gc
+    try:
+        sweep()
+        yield sweep
+    finally:
+        spark.conf.set(name, before)
+
+
 class Table:
     """A stored table, counted once: what is small by its count is broadcast or worked on in one task, anything larger is shuffled as usual.
 
@@ -361,7 +379,7 @@ def able(active: DataFrame, met: DataFrame) -> DataFrame:
     return both.where(bound() >= LEAST_CONFIDENCE).where(F.col("n") >= LEAST_CONFIDENCE * F.coalesce("places", F.lit(0)))
 
 
-def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, passes: int = PASSES) -> DataFrame | None:
+def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS, least_score: float = LEAST_SCORE, passes: int = PASSES, after_pass: Callable[[], None] = lambda: None) -> DataFrame | None:
     """row, first, last of new identifiers in base (row, text, seeds), by numbers of words; None if there are none."""
     seeds = base.select("row", F.inline("seeds"))
     covered = Table(covering(seeds), "covered")
@@ -431,6 +449,7 @@ def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
         found = Table(spots if found is None else found.near.unionByName(spots), "found")
         known = Table(known.near.unionByName(patterns_of(places.near)).groupBy("instance", "side", "h").agg(F.sum("n").alias("n")), "known")
         covered = Table(covered.near.union(covering(places.near)).distinct(), "covered")
+        after_pass()
     return None if found is None else found.near
 
 
@@ -439,7 +458,9 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ensure_columns(docs, key, text)
     base = base_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie")))
     base = stored(base.select(F.monotonically_increasing_id().alias("row"), "key", "tie", F.coalesce("text", F.lit("")).alias("text"), "spans", "seeds"), "spans", BLOCK)
-    new = bootstrap(base)
+    with many_jobs(docs.sparkSession) as sweep:
+        new = bootstrap(base, after_pass=sweep)
+        sweep()
     if new is None:
         return base.select(F.col("key").alias(key), "tie", "spans")
     by_row = Table(new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")), "marks")
