@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.monoids import SUM, Monoid
@@ -193,37 +193,26 @@ def dijkstra_frontiers(edges: DataFrame, start: int, n: int | None = None) -> Da
 def kcore(edges: DataFrame, n: int | None = None) -> DataFrame:
     """v and coreness for each vertex of [0, n); edges count as undirected, once, without loops.
 
-    Peeling: at k, vertices of degree at most k leave with coreness k until none is left to leave; k then jumps to the least degree left.
-    Degrees are written once; a round writes the vertices that leave and what their neighbours lose, and looks only at these neighbours.
+    Bounds from above, degrees at first: a vertex's falls to the largest h such that h of its neighbours have bounds of h or more, until none falls.
+    A round looks at the vertices that have a neighbour whose bound fell below theirs, and writes the bounds that fall.  Neighbours are
+    counted by bound, cut at the vertex's own, before they meet in its window, so a hub's window holds distinct bounds only.
     """
     n = vertex_count(edges) if n is None else n
     links = stored(symmetrize(edges), "edges")
-    degree = stored(links.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree")), "degrees")
-    if degree.isEmpty():
-        return vertices(edges, n).select("v", F.lit(0).cast("long").alias("core"))
-    changes = Log(lambda df: df.groupBy("v").agg(F.sum("degree").alias("degree")))
-    gone = Log()
-    gone.add(degree.limit(0).select("v", F.lit(0).cast("long").alias("core")))
-    changes.add(degree)
-    k, near = None, None
-    while True:
-        rows = changes.rows() if near is None else changes.rows().join(near, "v", "left_semi")
-        left = rows.groupBy("v").agg(F.sum("degree").alias("degree")).join(gone.rows(), "v", "left_anti")
-        if near is None:
-            left = stored(left, "left")
-            k = left.agg(F.min("degree")).first()[0]
-            if k is None:
-                break
-        leaving = stored(left.where(F.col("degree") <= k).select("v", F.lit(k).cast("long").alias("core")), "leaving")
-        if leaving.isEmpty():
-            near = None
-            continue
-        gone.add(leaving)
-        lost = links.join(leaving, F.col("src") == leaving["v"], "left_semi").groupBy(F.col("dst").alias("v")).agg((-F.count("*")).alias("degree"))
-        lost = stored(lost.join(gone.rows(), "v", "left_anti"), "lost")
-        changes.add(lost)
-        near = lost.select("v")
-    return vertices(edges, n).join(gone.rows().withColumnRenamed("v", "at"), F.col("v") == F.col("at"), "left").select("v", F.coalesce("core", F.lit(0)).alias("core"))
+    fell = stored(links.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("core")), "bounds")
+    bounds = Log(lambda df: df.groupBy("v").agg(F.min("core").alias("core")))
+    bounds.add(fell)
+    down = Window.partitionBy("src").orderBy(F.desc("bound")).rowsBetween(Window.unboundedPreceding, 0)
+    while not fell.isEmpty():
+        known = bounds.table()
+        touched = links.join(fell, F.col("src") == F.col("v")).groupBy("dst").agg(F.min("core").alias("low"))
+        looked = touched.join(known, F.col("dst") == F.col("v")).where("low < core").select(F.col("v").alias("src"), F.col("core").alias("own"))
+        near = links.join(looked, "src").join(known, F.col("dst") == F.col("v"))
+        counts = near.groupBy("src", "own", F.least("own", "core").alias("bound")).agg(F.count("*").alias("n"))
+        best = counts.withColumn("n", F.sum("n").over(down)).groupBy("src", "own").agg(F.max(F.least("bound", "n")).alias("core"))
+        fell = stored(best.where("core < own").select(F.col("src").alias("v"), "core"), "bounds")
+        bounds.add(fell)
+    return vertices(edges, n).join(bounds.table().withColumnRenamed("v", "at"), F.col("v") == F.col("at"), "left").select("v", F.coalesce("core", F.lit(0)).alias("core"))
 
 
 def pagerank(matrix: DataFrame, n: int, iterations: int = 10, damping: float = 0.85, store_each: int = 3) -> DataFrame:
