@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -417,3 +418,17 @@ def test_link_graph(spark):
         for h, x in zip(hosts, rank / share, strict=True):
             assert abs(out[h][kind] - x) < 1e-3
     assert out["farm.fr"]["verdict"] == out["farm2.fr"]["verdict"] == "block" and out["shop.fr"]["verdict"] == out["calm.fr"]["verdict"] == "allow"
+
+
+def test_urls_of_odd_tables(spark):
+    """Repeated rows count each, a host with a third of all rows and the empty host are judged like others, and columns called like the helpers change nothing."""
+    rows = [(k % 7, f"http://hot.fr/{k % 5}", None) for k in range(60)] + [(None, None, "<a href='//Hot.fr/'>x</a>")] * 40 + [(1, "no scheme", "")] * 20
+    rows += [(k, f"http://bad.com/en/{k}", "<a href=//hot.fr>") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    odd = df.select("*", *[F.lit("mine").alias(c) for c in ("key", "host", "path", "rule", "verdict", "by_rule", "links", "trust", "distrust", "n")])
+    out = [r.asDict() for r in url_filter.judge(odd).collect()]
+    order = lambda rs: sorted(tuple(str(v) for v in r.values()) for r in rs)
+    assert order(out) == order(r.asDict() for r in url_filter.judge(df).collect())
+    want = Counter((k, *judged(u)[:2]) if u and "://" in u else (k, "", "") for k, u, _ in rows)
+    assert Counter((r["page_id"], r["host"], r["path"]) for r in out) == want
+    assert {r["verdict"] for r in out if r["host"] == "bad.com"} == {"block"} and len({r["verdict"] for r in out if r["host"] == "hot.fr"}) == 1
