@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seqweave.functions.monoids import LAST, MAX, MIN, SUM
 from seqweave.functions.names import free
 from seqweave.operators import graph, halo, hull, partition, reduce, rows, scan, text_search, zips
+from seqweave.plans import queries as core
 from seqweave.sources import graph_files
 
 
@@ -50,6 +51,17 @@ def test_slices_that_leave_the_sequence(spark):
     assert rows.cut_or_empty(s, 0, 11).count() == 0 and values(rows.cut_chunks(s, 1, 9, 4)) == list(range(4, 10))
 
 
+@pytest.mark.parametrize("n", [0, 60, 700])
+def test_slice_queries_on_short_tables(spark, tmp_path, n):
+    """As their SQL: the rows of the slice that the table has."""
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("event_id").limit(n).write.parquet(str(tmp_path / "events.parquet"))
+    every = [r["value"] for r in core.ev(spark, str(tmp_path)).orderBy("pos").collect()]
+    assert len(every) == n
+    for name, start, end in (("seq_cut", 100, 7000), ("seq_to_list", 0, 1000)):
+        out = core.QUERIES[name](spark, str(tmp_path)).orderBy("pos").collect()
+        assert [tuple(r[c] for c in ("pos", "value")) for r in out] == list(enumerate(every[start:end]))
+
+
 def test_helper_names_do_not_touch_a_callers(spark):
     names = ["_chunk", "_local", "_at", "_before", "_part", "_n", "_own", "_h", "_start", "_CHUNK_"]
     s = spark.createDataFrame([(k, 9 - k, *([f"x{k}"] * len(names))) for k in range(10)], "pos long, value long, " + ", ".join(f"{n} string" for n in names))
