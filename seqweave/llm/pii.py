@@ -69,6 +69,8 @@ PLAN_CHARACTERS = 10_000
 BLOCK = 4 << 20
 #: Tables of up to so many rows are broadcast, or worked on in one task.
 FEW = 200_000
+#: Bits of a sieve for each hash that it holds, and in all, at least and at most: powers of two.
+SIEVE_BITS, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 28
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -288,12 +290,39 @@ def placed(base: DataFrame) -> DataFrame:
     return rows.select("row", "at", "raw", F.when(F.col("p1").isNotNull(), F.xxhash64("p2", "p1")).alias("left"), F.when(F.col("n1").isNotNull(), F.xxhash64("n1", "n2")).alias("right"))
 
 
+def sieve(hashes: DataFrame, n: int) -> Callable[[Column], Column]:
+    """Of n hashes (one column of longs), a test that holds for all of them and for few others: two bits each in one array, which is sent as one value.  Null for null.
+
+    A join whose other side is large meets what passes only.  Where the array is as long as it may be, more passes; the join stays exact.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (SIEVE_BITS * n - 1).bit_length()))
+    places = lambda h: (h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
+    at, bit = lambda p: F.shiftright(p, 6).cast("int"), lambda p: p.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("p")))
+    full = hashes.select(F.explode(F.array(*places(F.col(hashes.columns[0])))).alias("p")).select(at(F.col("p")).alias("at"), one.alias("bits"))
+    zero = hashes.sparkSession.range(bits >> 6).select(F.col("id").cast("int").alias("at"), F.lit(0).cast("long").alias("bits"))
+    longs = full.unionByName(zero).groupBy("at").agg(F.bit_or("bits").alias("bits")).agg(F.sort_array(F.collect_list(F.struct("at", "bits"))).alias("x"))
+    held = stored(longs.select(F.col("x.bits").alias("bits")), "sieve").scalar()
+
+    def test(h: Column) -> Column:
+        first, second = (F.getbit(F.get(held, at(p)), bit(p)) == 1 for p in places(h))
+        return first & second
+
+    return test
+
+
 def hits(base: DataFrame, patterns: Table) -> DataFrame:
     """row, word (its number), token (its hash), side and h where a word has one of the patterns (a stored table: side L, R or H, and h)."""
-    of = lambda s, name: patterns.few(patterns.df.where(F.col("side") == s).select(F.col("h").alias(name), F.lit(True).alias(f"in_{name}")))
-    met = placed(base).withColumn("head", head(F.col("raw"))).join(of("L", "left"), "left", "left").join(of("R", "right"), "right", "left").join(of("H", "head"), "head", "left")
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.when(F.col(f"in_{n}"), F.col(n)).alias("h")) for s, n in (("L", "left"), ("R", "right"), ("H", "head"))])
-    return met.where("in_left or in_right or in_head").select("row", F.col("at").alias("word"), F.xxhash64("raw").alias("token"), F.inline(F.filter(sides, lambda x: x["h"].isNotNull())))
+    names = {"L": "left", "R": "right", "H": "head"}
+    of_side = lambda s, h: h.bitwiseXOR(F.lit(ord(s) * 0x9E3779B97F4A7))  # noqa: E731  two words may be a context on either side
+    passes = sieve(patterns.df.select(F.coalesce(*[F.when(F.col("side") == s, of_side(s, F.col("h"))) for s in names])), patterns.n)
+    some = [passes(of_side(s, F.col(n))) for s, n in names.items()]
+    # Nearly all words have none of the patterns, and go before any join.
+    words = placed(base).withColumn("head", head(F.col("raw"))).where(some[0] | some[1] | some[2])
+    none = F.array().cast("array<struct<side:string,h:bigint>>")
+    sides = F.concat(*[F.when(x, F.array(F.struct(F.lit(s).alias("side"), F.col(n).alias("h")))).otherwise(none) for (s, n), x in zip(names.items(), some, strict=True)])
+    met = words.select("row", F.col("at").alias("word"), F.xxhash64("raw").alias("token"), F.inline(sides))
+    return met.join(patterns.sent.select("side", "h"), ["side", "h"]).select("row", "word", "token", "side", "h")
 
 
 def vocabulary(base: DataFrame) -> DataFrame:
