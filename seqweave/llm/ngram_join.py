@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.storage import settled
 from .common import bounded_batches, ensure_columns, rows_of, slices, stored, utf8, with_columns
 from .graph import components
 from .words import mix, windows, word_hashes, words
@@ -302,7 +303,7 @@ def with_sets(docs: DataFrame, key: str, text: str, wanted: DataFrame, n: int) -
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each near-duplicate class, the one with the least key; all columns as they were, whatever their names."""
-    joined = stored(similarity_join(docs, key, text), "joined")
+    joined, _ = settled(docs.sparkSession, lambda: similarity_join(docs, key, text), "joined")  # its sets and sketches go
     of = lambda df, key, tie: df.select(key.alias("of_key"), tie.alias("of_tie"))
     alone = of(joined.where("copies = 1 and n_links = 0"), F.col(key), F.col("tie")).distinct().withColumn("one", F.lit(False))
     groups = joined.where("copies > 1 or n_links > 0").select(F.col(key).alias("key"), "tie", "class_id", "class_tie")

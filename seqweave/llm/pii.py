@@ -40,7 +40,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ensure_columns, field, rows_of, stored
+from ..functions.names import quoted
+from .common import ensure_columns, stored
 
 #: The patterns of the four kinds, written so that they do not backtrack.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -334,7 +335,7 @@ def vocabulary(base: DataFrame) -> DataFrame:
 def places_of(base: DataFrame, ranges: DataFrame) -> DataFrame:
     """row, head (hash of the first word) and the fields of instance() for ranges: row, first, last."""
     by_row = Table(ranges.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
-    met = base.select("row", "text").join(by_row.sent, "row")
+    met = meeting(base.select("row", "text"), by_row, "row")
     bound = F.struct(words_of(F.col("text")).alias("words"), words_of(plain(F.col("text"))).alias("low"), F.col("ranges").alias("ranges"))
     one = lambda p, x: F.struct(instance(p["words"], p["low"], x["first"], x["last"]).alias("at"), F.xxhash64(F.get(p["words"], x["first"])).alias("head"))
     inside = lambda p: F.filter(p["ranges"], lambda x: x["last"] < F.size(p["words"]))
@@ -345,7 +346,7 @@ def long_instances(base: DataFrame, ranges: DataFrame, covered: Table) -> DataFr
     """Places of the instances of several words at ranges (row, first, last), wherever they stand clear of covered words."""
     new = Table(places_of(base, ranges).select("instance", "head", (F.col("last") - F.col("first") + 1).alias("n")).distinct(), "new")
     words = base.select("row", F.posexplode(split_words(F.col("text"))).alias("first", "raw")).withColumn("head", F.xxhash64("raw"))
-    met = words.join(new.few(new.df.select("head", "n").distinct()), "head").select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
+    met = meeting(words, Table(new.df.groupBy("head").agg(F.collect_set("n").alias("ns")), "heads"), "head").select("row", "first", F.explode("ns").alias("n")).select("row", "first", (F.col("first") + F.col("n") - 1).alias("last"))
     met = Table(places_of(base, stored(met, "ranges")).join(new.few(new.df.select("instance")), "instance", "left_semi"), "places")
     return clear(met.near, covered).select("row", "first", "last", "instance", "word", "left", "right")
 
@@ -459,7 +460,7 @@ def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
             taken = covered if places is None else Table(covered.df.union(covering(places.df)).distinct(), "covered")
             tokens = base.select("row", F.posexplode(split_words(F.col("text"))).alias("word", "raw")).withColumn("token", F.xxhash64("raw"))
             # Stored before the next join, which the optimizer would else move below this one, to all words.
-            every = Table(tokens.join(good.few(good.df.select("token", "form")), "token").select("row", "word", "token", "form"), "places")
+            every = Table(meeting(tokens, good, "token").select("row", "word", "token", "form"), "places")
             every = Table(every.near.join(taken.sent, ["row", "word"], "left_anti"), "places")
             at_words = places_of(base, every.near.select("row", F.col("word").alias("first"), F.col("word").alias("last")))
             at_words = Table(at_words.select("row", F.col("first").alias("at"), "word", "left", "right").withColumnsRenamed({"word": "raw", "at": "word"}), "places")
@@ -482,24 +483,44 @@ def bootstrap(base: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
     return None if found is None else found.near
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row of docs: key, tie (a hash of the text), spans (base ones, then new ones of kind `id`, by kind and start)."""
-    ensure_columns(docs, key, text)
-    base = base_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie")))
-    base = stored(base.select(F.monotonically_increasing_id().alias("row"), "key", "tie", F.coalesce("text", F.lit("")).alias("text"), "spans", "seeds"), "spans", BLOCK)
+def meeting(df: DataFrame, table: Table, on: str, whole: bool = False) -> DataFrame:
+    """df joined with a stored table that has a row for each value of the long `on`; whole: all of df, else what meets.
+
+    A large table is not sent, and of df only what has such a value (and few others) is shuffled.
+    """
+    if table.n <= FEW:
+        return df.join(F.broadcast(table.df), on, "left" if whole else "inner")
+    passes = sieve(table.df.select(F.xxhash64(on)), table.n)(F.xxhash64(on))
+    met = df.where(passes).join(table.df, on, "left" if whole else "inner")
+    return met.unionByName(df.where(~passes), allowMissingColumns=True) if whole else met
+
+
+def searched(docs: DataFrame, key: str, text: str, others: list[str]) -> DataFrame:
+    """For each row of docs: key, tie (a hash of the text), text, kept (a struct: whether the text is null, then the columns `others`), spans (base ones) and more (null, or new ones)."""
+    kept = F.struct(F.col(text).isNull().alias("absent"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(quoted(others))])
+    base = base_spans(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"), kept.alias("kept")))
+    base = stored(base.select(F.monotonically_increasing_id().alias("row"), "key", "tie", F.coalesce("text", F.lit("")).alias("text"), "kept", "spans", "seeds"), "spans", BLOCK)
     with many_jobs(docs.sparkSession) as sweep:
         new = bootstrap(base, after_pass=sweep)
         sweep()
     if new is None:
-        return base.select(F.col("key").alias(key), "tie", "spans")
+        return base.withColumn("more", F.lit(None).cast(base.schema["spans"].dataType))
     by_row = Table(new.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("ranges")), "marks")
-    met = matches(base.select("row", "text").join(by_row.sent, "row"), "text", WORD, "_word", F.lit(True))
+    met = matches(meeting(base.select("row", "text"), by_row, "row"), "text", WORD, "_word", F.lit(True))
     # Of ranges that overlap (in one text, found in different ways) the later one goes on where the earlier one ends.
     joined = lambda p: F.aggregate(p["ranges"], F.array().cast("array<struct<first:int,last:int>>"), lambda a, x: F.when((F.size(a) > 0) & (F.get(a, F.size(a) - 1)["last"] >= x["first"]), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.struct(F.get(a, F.size(a) - 1)["first"].alias("first"), F.greatest(F.get(a, F.size(a) - 1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(a, F.array(x))))
     spans = let(F.struct(F.col("_word").alias("words"), F.col("ranges").alias("ranges")), lambda p: F.transform(joined(p), lambda x: F.struct(F.lit(ID).alias("kind"), F.get(p["words"], x["first"])["start"].alias("start"), F.get(p["words"], x["last"])["end"].alias("end"))))
-    found = met.select("row", spans.alias("more"))
-    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return base.join(found, "row", "left").select(F.col("key").alias(key), "tie", F.concat("spans", F.coalesce("more", none)).alias("spans"))
+    return meeting(base, Table(met.select("row", spans.alias("more")), "more"), "row", whole=True)
+
+
+def all_spans() -> Column:
+    return F.concat("spans", F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")))
+
+
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For each row of docs: key, tie (a hash of the text), spans (base ones, then new ones of kind `id`, by kind and start)."""
+    ensure_columns(docs, key, text)
+    return searched(docs, key, text, []).select(F.col("key").alias(key), "tie", all_spans().alias("spans"))
 
 
 def spelled(spans: Column) -> Column:
@@ -518,11 +539,12 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with each span of its text replaced by [KIND]; of spans that overlap, the first by start (then the longest) counts and what others add goes with it.
 
-    Rows are met with their spans by key and text hash; all columns stay, whatever their names, and the text alone changes.  A null text stays null.
+    All columns stay, whatever their names (of types that Parquet holds), and the text alone changes.  A null text stays null.  Rows are stored beside
+    their spans, so no text is shuffled but those with new identifiers, where these are many.
     """
-    found = find(docs, key, text).where(F.size("spans") > 0).select(F.col(key).alias("of_key"), F.col("tie").alias("of_tie"), "spans").dropDuplicates(["of_key", "of_tie"])
-    rows = rows_of(docs, key=F.col(key), tie=F.xxhash64(text), text=F.col(text))
-    rows = rows.join(found, F.col("key").eqNullSafe(F.col("of_key")) & (F.col("tie") == F.col("of_tie")), "left")
+    ensure_columns(docs, key, text)
+    others = [c for c in docs.columns if c != text]
+    rows = searched(docs, key, text, others).select("kept", F.when(~F.col("kept.absent"), F.col("text")).alias("text"), all_spans().alias("spans"))
     ordered = F.array_sort("spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.struct(
@@ -530,5 +552,6 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
         F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
     )
     done = F.aggregate(F.col("ordered"), start, step, lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    clean = F.when(F.col("ordered").isNotNull(), done).otherwise(F.col("text"))
-    return rows.withColumn("ordered", ordered).select(*[(clean if c == text else field(c)).alias(c) for c in docs.columns])
+    clean = F.when(F.size("ordered") > 0, done).otherwise(F.col("text"))
+    place = {c: i for i, c in enumerate(others)}
+    return rows.withColumn("ordered", ordered).select(*[(clean if c == text else F.col(f"kept.c{place[c]}")).alias(c) for c in docs.columns])

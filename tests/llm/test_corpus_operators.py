@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from seqweave.llm import graph, mixing, ngram_join, pii
+from seqweave.plans import storage
 
 SPACE = "\x20\x09-\x0d"
 
@@ -349,3 +350,20 @@ def test_no_join_makes_a_row_of_every_word(spark):
     assert {r["token"] for r in found.where("side = 'H'").collect()} == {r[0] for r in spark.createDataFrame([("Zq81xxxxx",), ("Zq81yyyyy",), ("Zq81zzzzz",)], "w string").select(F.xxhash64("w")).collect()}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Inner" in plan and "LeftOuter" not in plan
+
+
+def test_texts_stay_where_they_are(spark, monkeypatch, tmp_path):
+    """personal_data shuffles no text, near_duplicates leaves one small table; tables too large to be sent change no result."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(-1).cast(docs.schema["doc_id"].dataType), "text": F.lit(None).cast("string")}))
+    out = pii.redact(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(repr, df.collect()))
+    want = rows(out)
+    assert any("[EMAIL]" in r for r in want) and any("[ID]" in r for r in want) and any("doc_id=-1" in r and "text=None" in r for r in want)
+    monkeypatch.setattr(pii, "FEW", 0)
+    assert rows(pii.redact(docs)) == want
+    monkeypatch.setattr(storage, "_written", [])
+    corpus_pipeline.near_duplicates(spark, docs, "").count()
+    assert len(storage._written) == 1
