@@ -5,16 +5,14 @@
 2. Band and row counts follow from the target recall: the most rows a band for which the bands that reach it fit in
    MOST_HASHES.  Representatives meet on band hashes, each bucket as a star around its least member.
 3. Connected components of the stars are candidate blocks.  A block of more than PART_SETS sets or PART_GRAMS n-grams is cut into
-   parts, and the members' sketches (BINS bytes a set, the least hash of each bin) meet for each pair of parts: pairs whose estimated similarity
-   falls short of the threshold by SLACK or more are no edges, and the components of the others are finer blocks.  So a family of texts
-   that share bands but are not similar falls apart before any set is sent.
+   parts, and the members' sketches (their n-grams counted in BINS bins) meet for each pair of parts: two sets share at most the sum of the smaller
+   counts, so pairs for which that is too little for the threshold are no edges, and the components of the others are finer blocks.  So a family of texts
+   that share bands but are not similar falls apart before any set is sent.  A bound, not an estimate: no similar pair is lost, whatever a block's size.
 4. The representatives' full sets are sent to their block once (to each pair of parts, where a finer block is still large, which its members then are
    similar enough for), where intersections are counted exactly by a product of incidence matrices over the n-grams that two sets share.  Groups
    give each member its number of links and one edge to a root of what is linked, never the pairs.
 5. Components of those verified edges are the near-duplicate classes.
 
-The estimate misses a pair at the threshold with a probability below 1e-7 (5 standard deviations of BINS bins); it is part of the recall.
-
 No cap on a bucket, a partner or a candidate: copies are counted through their class, blocks of any size are
 cut into parts of at most PART_SETS sets and PART_GRAMS n-grams (a longer set is a part by itself).
 
@@ -47,10 +45,9 @@ MOST_HASHES = 240
 PART_SETS = 2048
 PART_GRAMS = 2_000_000
 COLUMNS = 8192
-#: Bins of a sketch, those that are compared for all pairs, and how far an estimate may fall short: 5 standard deviations at 0.8 of either number.
+#: Bins of a sketch, and how many of them are compared at a time.
 BINS = 4096
-FIRST_BINS = 256
-SLACK, FIRST_SLACK = 0.04, 0.125
+SOME_BINS = 1024
 
 
 def bands_for(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -122,47 +119,39 @@ def sketches(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int
 
 
 def sketched(sets: DataFrame) -> DataFrame:
-    """label, part, parts, rid and sketch of sets: a byte for each of BINS bins of the hashes, 0 for an empty one, else from the least hash in it.
-
-    The bins are dealt anew before a prefix of them is taken, so any prefix is a sketch too.
-    """
-    order = np.random.default_rng(7).permutation(BINS)
+    """label, part, parts, rid and sketch of sets: how many of the hashes are in each of BINS bins, a byte each, 255 at most; then how many there are, 8 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for grams in batch.column(4):
                 h = mix(grams.values.to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
-                least = np.full(BINS, np.iinfo(np.uint64).max)
-                np.minimum.at(least, (h >> np.uint64(52)).astype(np.int64), h & np.uint64((1 << 52) - 1))
-                out.append(np.where(least == np.iinfo(np.uint64).max, 0, 1 + least % np.uint64(255)).astype(np.uint8)[order].tobytes())
+                count = np.bincount((h >> np.uint64(52)).astype(np.int64), minlength=BINS)
+                out.append(np.minimum(count, 255).astype(np.uint8).tobytes() + np.int64(len(h)).tobytes())
             yield with_columns(batch, ["label", "part", "parts", "rid"], {"sketch": pa.array(out, pa.binary())})
 
     return sets.select("label", "part", "parts", "rid", "grams").mapInArrow(run, "label long, part long, parts long, rid long, sketch binary")
 
 
-def alike(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of two arrays of sketches can be similar, as a matrix."""
-
-    def share(same: np.ndarray, either: np.ndarray) -> np.ndarray:
-        return same / np.maximum(either, 1)
-
-    a, b = left[:, :FIRST_BINS], right[:, :FIRST_BINS]
-    same = np.zeros((len(a), len(b)), np.int16)
-    for k in range(a.shape[1]):
-        x, y = a[:, k], b[:, k]
-        same += (x[:, None] == y[None, :]) & (x != 0)[:, None]
-    full = lambda m: (m != 0).astype(np.float32)
-    filled = lambda m: (m != 0).sum(1, dtype=np.int32)
-    either = filled(a)[:, None] + filled(b)[None, :] - (full(a) @ full(b).T).astype(np.int32)
-    # Few bins in use say little: such pairs go on to the whole sketch, as do those that come near.
-    out = (share(same, either) >= threshold - FIRST_SLACK) | (either < FIRST_BINS // 4)
-    i, j = np.nonzero(out)
-    for k in range(0, len(i), 4096):
-        x, y = left[i[k : k + 4096]], right[j[k : k + 4096]]
-        used = ((x != 0) | (y != 0)).sum(1)
-        out[i[k : k + 4096], j[k : k + 4096]] = share(((x == y) & (x != 0)).sum(1), used) >= threshold - SLACK
-    return out
+def alike(left: np.ndarray, right: np.ndarray, threshold: float | Fraction) -> np.ndarray:
+    """Which pairs of two arrays of sketches can be similar, as a matrix: all that are, and few others."""
+    limit = Fraction(threshold).limit_denominator(10_000)
+    num, den = limit.numerator, limit.denominator
+    n, m = (x[:, BINS:].copy().view(np.int64)[:, 0] for x in (left, right))
+    inter = np.zeros((len(left), len(right)), np.float32)  # at most 255 * BINS: exact
+    for start in range(0, BINS, SOME_BINS):
+        a, b = (x[:, start : min(start + SOME_BINS, BINS)] for x in (left, right))
+        # The smaller of two counts is the number of k that both reach.
+        for k in range(1, 256):
+            x, y = a >= k, b >= k
+            used = np.flatnonzero(x.any(0) & y.any(0))
+            if not len(used):
+                break
+            inter += x[:, used].astype(np.float32) @ y[:, used].astype(np.float32).T
+    # What a byte did not hold may be shared too.
+    over_a, over_b = n - left[:, :BINS].sum(1, dtype=np.int64), m - right[:, :BINS].sum(1, dtype=np.int64)
+    most = inter.astype(np.int64) + np.minimum(over_a[:, None], over_b[None, :])
+    return most * (num + den) >= num * (n[:, None] + m[None, :])
 
 
 def roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -177,15 +166,15 @@ def roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np
             return root
 
 
-def finer(sets: DataFrame, threshold: float) -> DataFrame:
-    """sets (label, part, parts, rid, copies, grams) with blocks of several parts cut into finer ones; members without an edge are left out."""
+def finer(sets: DataFrame, threshold: Fraction) -> DataFrame:
+    """sets (label, part, parts, rid, copies, grams) with blocks of several parts cut into finer ones; members that can have no link are left out."""
     large = sets.where("parts > 1")
     if large.isEmpty():
         return sets
 
     def run(group: pa.Table) -> pa.Table:
         rid, part = group["rid"].to_numpy(), group["part"].to_numpy()
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(rid), BINS)
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(rid), -1)
         i, j = group["i"][0].as_py(), group["j"][0].as_py()
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         near = alike(sketch[left], sketch[right], threshold)
@@ -271,8 +260,9 @@ def similarity_join(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     blocks = components(stars)
     mine = stored(blocks.join(reps.select("rid", "key", "tie", "copies", "grams"), F.col("node") == F.col("rid")).drop("node"), "candidates")
     wanted = parted(mine, F.col("grams")).select(F.col("key").alias("_key"), F.col("tie").alias("_tie"), "label", "part", "parts", "rid", "copies")
-    spread = in_pairs(finer(with_sets(docs, key, text, wanted, n), threshold), "copies", "grams")
-    found = stored(verified(spread, Fraction(threshold).limit_denominator(10_000)), "links")
+    limit = Fraction(threshold).limit_denominator(10_000)
+    spread = in_pairs(finer(with_sets(docs, key, text, wanted, n), limit), "copies", "grams")
+    found = stored(verified(spread, limit), "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
     # Back to rows, through the sets.

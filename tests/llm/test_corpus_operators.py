@@ -6,13 +6,16 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from seqweave.llm import graph, mixing, ngram_join, pii
+from seqweave.llm.words import mix
 from seqweave.plans import storage
 
 SPACE = "\x20\x09-\x0d"
@@ -87,6 +90,41 @@ def test_similarity_join(spark, monkeypatch, parts):
     assert ngram_join.similarity_join(df.limit(0)).count() == 0
 
 
+def test_blocks_of_several_parts_lose_no_link(spark):
+    """Pairs of 4 and 5 n-grams, 4 of them shared (0.8), whose fifth is in a bin of another one: cut into parts or not, they stay together."""
+    rng = np.random.default_rng(5)
+    bin_of = lambda g: mix(g.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(52)
+    rows = []
+    for k in range(20):
+        four, more = rng.integers(-(2**62), 2**62, 4), rng.integers(-(2**62), 2**62, 40_000)
+        fifth = more[np.isin(bin_of(more), bin_of(four))][0]
+        rows += [(k, 0, 2, 2 * k, 1, four.tolist()), (k, 1, 2, 2 * k + 1, 1, [*four.tolist(), int(fifth)])]
+    sets = spark.createDataFrame(rows, "label long, part long, parts long, rid long, copies long, grams array<long>")
+    blocks = defaultdict(list)
+    for r in ngram_join.finer(sets, Fraction(4, 5)).collect():
+        blocks[r["label"]].append(r["rid"])
+    assert sorted(map(sorted, blocks.values())) == [[2 * k, 2 * k + 1] for k in range(20)]
+
+
+@pytest.mark.parametrize("n", [300, 30_000, 1_200_000])
+def test_sketches_bound_what_is_shared(spark, n):
+    """Long sets too, whose bins overflow a byte: what the sketches allow holds all pairs at the threshold."""
+    rng = np.random.default_rng(n)
+    pool = rng.integers(-(2**62), 2**62, 2 * n)
+    sets = [pool[:n], pool[n // 9 : n + n // 9], pool[n // 8 : n + n // 8], pool[n:], pool[: -(-4 * n // 5)]]
+    df = spark.createDataFrame([(0, 0, 2, k, 1, s.tolist()) for k, s in enumerate(sets)], "label long, part long, parts long, rid long, copies long, grams array<long>") if n < 10**6 else None
+    if df is None:
+        counts = [np.bincount((mix(s.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(52)).astype(np.int64), minlength=ngram_join.BINS) for s in sets]
+        assert max(c.max() for c in counts) > 255
+        m = np.stack([np.frombuffer(np.minimum(c, 255).astype(np.uint8).tobytes() + np.int64(len(s)).tobytes(), np.uint8) for c, s in zip(counts, sets, strict=True)])
+    else:
+        m = np.stack([np.frombuffer(r["sketch"], np.uint8) for r in ngram_join.sketched(df).orderBy("rid").collect()])
+    near = ngram_join.alike(m, m, Fraction(4, 5))
+    held = [set(s.tolist()) for s in sets]
+    true = np.array([[5 * len(a & b) >= 4 * len(a | b) for b in held] for a in held])
+    assert (near | ~true).all() and true[0, 4] and (n > 30_000 or not near[0, 3])
+
+
 def test_repeated_rows_and_keys(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (1, "p q r s t u v"), (None, None), (None, None)], "doc_id long, text string")
